@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charterloom.llm import distinctive, frequency, groups, mixing, spans, tokenizer, visible
+from charterloom.llm import distinctive, frequency, groups, mixing, sentences, spans, tokenizer, visible
 from charterloom.sources.tables import table
 
 
@@ -74,6 +74,10 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.draw(sized, mixing.plan_mixture(sized, table(spark, d, "mix_targets"))[0])
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_spans, p2_share, p3_found, p3_scores, p4_found, p4_terms, p4_names, p5_found, p6_ids, p7_found, p7_shares, p7_mixture)
+    own = (p1_found, p1_forms, p2_found, p2_spans, p2_share, p3_found, p3_scores, p4_found, p4_terms, p4_names, p5_found, p6_ids, p7_found, p7_shares, p7_mixture, p8_found)
     return {f.__name__: f for f in own}
