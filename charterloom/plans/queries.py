@@ -5,7 +5,371 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from charterloom.config import Config, parse_bigram_rules, parse_phonetic_rules
+from charterloom.functions import text as T
+from charterloom.operators import align, autotune, bpe, encode, features, normalize, reports, similarity, threshold, vocab
+from charterloom.plans.materialize import materialize
+from charterloom.sources.files import first_per_group, long_enough
+from charterloom.sources.tables import latest_rows, table
+
+CONFIG = Config()
+NGRAM, N_OUT = CONFIG.ngram, CONFIG.n_out
+CUT = 0.6
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the corpus, one row each."""
+    rows = latest_rows(table(spark, d, "corpus"), "doc_idx", "loaded_at", ["name", "path", "text"])
+    return rows.withColumn("corpus", F.lit(1)).select("doc_idx", "corpus", "name", "path", "text")
+
+
+def both_corpora(spark: SparkSession, d: str) -> DataFrame:
+    second = table(spark, d, "formulary").select("doc_idx", F.lit(2).alias("corpus"), "name", F.lit(None).cast("string").alias("path"), "text")
+    return corpus(spark, d).unionByName(second)
+
+
+def token_lists(spark: SparkSession, d: str, second: bool = True) -> DataFrame:
+    """(doc_idx, corpus, tokens) without null and empty elements."""
+    rows = latest_rows(table(spark, d, "tokenized_corpus"), "doc_idx", "tokenized_at", ["tokens"]).withColumn("corpus", F.lit(1))
+    if second:
+        rows = rows.unionByName(table(spark, d, "formulary").select("doc_idx", F.lit(2).alias("corpus"), "tokens"))
+    clean = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    return rows.select("doc_idx", "corpus", clean.alias("tokens"))
+
+
+def norm_texts(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.normalize_texts(corpus(spark, d), CONFIG)
+
+
+def encoded(spark: SparkSession, d: str, second: bool = True) -> tuple[DataFrame, int]:
+    tokens = materialize(token_lists(spark, d, second), "tokens")
+    dictionary = materialize(encode.token_dictionary(tokens), "ids")
+    return encode.encode(tokens, dictionary, ["doc_idx", "corpus"]), dictionary.count()
+
+
+def postings(spark: SparkSession, d: str, second: bool = True) -> tuple[DataFrame, int]:
+    """Feature counts and the number of documents."""
+    ids, size = encoded(spark, d, second)
+    ids = materialize(ids, "encoded")
+    return materialize(features.feature_counts(ids, size, ["doc_idx", "corpus"], NGRAM, N_OUT), "postings"), ids.count()
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    return threshold.stored_pairs(table(spark, d, "dist_mat"))
+
+
+def linked(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different corpus records at or above the cutoff."""
+    return stored(spark, d).where((F.col("score") >= CUT) & (F.col("i") != F.col("j")))
+
+
+# sources, filters, projections
+
+
+@query
+def corpus_scan(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.collapse_whitespace(F.col("text")).alias("text"))
+    return long_enough(docs, CONFIG.min_text_length).select(F.col("doc_id").alias("doc_idx"), F.char_length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query
+def corpus_union(spark, d):
+    return both_corpora(spark, d).groupBy("corpus").agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"))
+
+
+@query
+def corpus_limit_per_source(spark, d):
+    docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source")
+    return first_per_group(docs, "source", ["doc_id"], 10)
+
+
+# normalisation
+
+
+@query
+def ligature_fold(spark, d):
+    return corpus(spark, d).select("doc_idx", T.fold_ligatures(F.col("text")).alias("folded"))
+
+
+@query
+def bigram_normalize(spark, d):
+    return corpus(spark, d).select("doc_idx", T.replace_in_order(F.lower("text"), parse_bigram_rules(CONFIG.bigram_normalization_rules)).alias("reduced"))
+
+
+@query
+def phonetic_reduce(spark, d):
+    rules = parse_phonetic_rules(CONFIG.phonetic_reduction_rules)
+    return norm_texts(spark, d).select("doc_idx", T.reduce_phonetics(F.col("norm_text"), CONFIG.phonetic_reduction_alphabet, rules).alias("reduced"))
+
+
+@query
+def lost_char_histogram(spark, d):
+    return normalize.lost_characters(corpus(spark, d), CONFIG)
+
+
+@query
+def learned_char_map(spark, d):
+    return normalize.learned_rules(corpus(spark, d), CONFIG)
+
+
+@query
+def normalize_text(spark, d):
+    return norm_texts(spark, d).select("doc_idx", "norm_text")
+
+
+@query
+def encoding_loss(spark, d):
+    loss = T.encoding_loss(F.col("text"), CONFIG.char_norm_alphabet, {})
+    return corpus(spark, d).select("doc_idx", F.round(loss, 6).alias("loss"))
+
+
+@query
+def alphabet_sample(spark, d):
+    return table(spark, d, "formulary").select("doc_idx", F.array_join(T.alphabet_of(F.col("text")), "").alias("alphabet"))
+
+
+# vocabulary
+
+
+@query
+def word_frequencies(spark, d):
+    return vocab.word_counts(norm_texts(spark, d))
+
+
+@query
+def frequent_words(spark, d):
+    return vocab.frequent_words(vocab.word_counts(norm_texts(spark, d)), CONFIG.vocab_min_word_freq)
+
+
+def _frequent(spark, d):
+    return materialize(frequent_words(spark, d), "frequent")
+
+
+@query
+def prefix_affixes(spark, d):
+    return vocab.neighbour_affixes(_frequent(spark, d)).groupBy("affix").agg(F.sum("freq").alias("c"))
+
+
+@query
+def suffix_affixes(spark, d):
+    return vocab.neighbour_affixes(_frequent(spark, d), suffix=True).groupBy("affix").agg(F.sum("freq").alias("c"))
+
+
+@query
+def affix_counts(spark, d):
+    return vocab.affix_counts(_frequent(spark, d))
+
+
+@query
+def vocab_size_suggestion(spark, d):
+    counts = materialize(vocab.word_counts(norm_texts(spark, d)), "words")
+    suggested = vocab.suggest_size(counts, CONFIG.vocab_min_word_freq, CONFIG.vocab_coverage)
+    row = (suggested, vocab.capped_size(counts, suggested))
+    return spark.createDataFrame([row], "suggested bigint, capped bigint")
+
+
+@query
+def bpe_tokens(spark, d):
+    norm = materialize(norm_texts(spark, d).select("doc_idx", "norm_text"), "norm")
+    counts = materialize(vocab.word_counts(norm), "words")
+    merges = bpe.learn(counts, vocab.capped_size(counts, vocab.suggest_size(counts)))
+    return bpe.tokenize(norm, merges, ["doc_idx"])
+
+
+# encoding and features
+
+
+@query
+def token_dictionary(spark, d):
+    return encode.token_dictionary(token_lists(spark, d))
+
+
+@query
+def encoded_docs(spark, d):
+    return encoded(spark, d)[0]
+
+
+@query
+def ngram_windows(spark, d):
+    ids, _ = encoded(spark, d, second=False)
+    return features.windows(ids, ["doc_idx"], NGRAM)
+
+
+@query
+def lno_hashes(spark, d):
+    ids, size = encoded(spark, d, second=False)
+    return features.lno_hashes(ids, size, ["doc_idx"], NGRAM, N_OUT)
+
+
+@query
+def feature_tf(spark, d):
+    return postings(spark, d)[0]
+
+
+@query
+def document_frequency(spark, d):
+    return similarity.document_frequency(postings(spark, d)[0])
+
+
+@query
+def smooth_idf(spark, d):
+    rows, n = postings(spark, d)
+    by_df = similarity.document_frequency(rows).groupBy("df").agg(F.count("*").alias("n_features"))
+    return by_df.select("df", "n_features", F.round(similarity.smooth_idf(F.col("df"), n), 9).alias("idf"))
+
+
+@query
+def tfidf_weights(spark, d):
+    rows, n = postings(spark, d)
+    return similarity.tfidf_weights(rows, n).withColumn("w", F.round("w", 9))
+
+
+# similarity
+
+
+def _weights(spark, d, second):
+    """Weights over all documents, and one text of every class of equal ones."""
+    rows, n = postings(spark, d, second)
+    weights = similarity.shared_weights(rows, n)
+    classes = similarity.copy_classes(token_lists(spark, d, False))
+    copies = classes.where("doc_idx <> class_id").select("doc_idx", F.lit(1).alias("corpus"))
+    return materialize(weights.join(copies, ["doc_idx", "corpus"], "left_anti"), "weights")
+
+
+@query
+def copy_classes(spark, d):
+    return similarity.copy_classes(token_lists(spark, d, False))
+
+
+@query
+def cosine_intra(spark, d):
+    return similarity.cosine_intra(_weights(spark, d, False)).withColumn("score", F.round("score", 8))
+
+
+@query
+def cosine_inter(spark, d):
+    return similarity.cosine_inter(_weights(spark, d, True)).withColumn("score", F.round("score", 8))
+
+
+@query
+def cosine_above(spark, d):
+    return similarity.cosine_above(_weights(spark, d, False), CUT).withColumn("score", F.round("score", 8))
+
+
+@query
+def topk_pairs(spark, d):
+    pairs = similarity.cosine_intra(_weights(spark, d, False)).withColumn("score", F.round("score", 8))
+    return pairs.orderBy(F.desc("score"), "i", "j").limit(20)
+
+
+@query
+def similarity_dense(spark, d):
+    items = table(spark, d, "formulary").select("doc_idx")
+    rows, columns = items.select(F.col("doc_idx").alias("i")), items.select(F.col("doc_idx").alias("j"))
+    pairs = stored(spark, d).where("i <> j")
+    return similarity.dense_matrix(pairs, rows, columns, True)
+
+
+# thresholds and filters
+
+
+@query
+def stored_pairs(spark, d):
+    return stored(spark, d)
+
+
+@query
+def otsu_threshold(spark, d):
+    return threshold.otsu(materialize(threshold.weighted_scores(stored(spark, d)), "scores")).withColumn("threshold", F.round("threshold", 9))
+
+
+@query
+def percentile_threshold(spark, d):
+    return threshold.percentile(threshold.weighted_scores(stored(spark, d))).withColumn("threshold", F.round("threshold", 9))
+
+
+@query
+def score_filter_pairs(spark, d):
+    return linked(spark, d)
+
+
+@query
+def score_range(spark, d):
+    return stored(spark, d).where(F.col("score").between(0.25, 0.75))
+
+
+@query
+def related_documents(spark, d):
+    return reports.related_documents(stored(spark, d), both_corpora(spark, d), CUT)
+
+
+@query
+def filename_year(spark, d):
+    return corpus(spark, d).select("doc_idx", "name", T.year_of(F.coalesce("name", F.lit(""))).alias("year"))
+
+
+@query
+def chronological_pairs(spark, d):
+    return align.chronological(linked(spark, d), both_corpora(spark, d))
+
+
+# alignment
+
+
+def _aligned(spark, d):
+    return align.align(linked(spark, d), both_corpora(spark, d))
+
+
+@query
+def matching_blocks(spark, d):
+    return align.matching_blocks(_aligned(spark, d))
+
+
+@query
+def gap_pairs(spark, d):
+    return align.gaps(_aligned(spark, d))
+
+
+@query
+def linguistic_variations(spark, d):
+    return reports.named_variations(linked(spark, d), both_corpora(spark, d), CUT, CONFIG.fuzz_threshold, CONFIG.max_gap_words)
+
+
+@query
+def long_segments(spark, d):
+    pairs = linked(spark, d).select("i", "j")
+    return align.long_segments(pairs.unionByName(pairs.toDF("j", "i")), both_corpora(spark, d))
+
+
+@query
+def similarity_summary(spark, d):
+    return reports.summary(stored(spark, d), both_corpora(spark, d), CUT)
+
+
+@query
+def comparison_html_segments(spark, d):
+    return align.highlighted_pairs(linked(spark, d), both_corpora(spark, d), CONFIG.max_gap_words, CONFIG.fuzz_threshold)
+
+
+@query
+def fuzzy_ratio(spark, d):
+    words = table(spark, d, "nation").select(F.lower("n_name").alias("token_1"), "n_regionkey")
+    regions = table(spark, d, "region").select(F.lower("r_name").alias("token_2"), F.col("r_regionkey").alias("n_regionkey"))
+    return align.bridge_classes(words.join(regions, "n_regionkey"), CONFIG.fuzz_threshold).withColumn("ratio", F.round("ratio", 9))
+
+
+@query
+def autotune_grid(spark, d):
+    return autotune.autotune_grid(encoded(spark, d, second=False)[0], CONFIG.auto_tune_sample_size)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
