@@ -11,6 +11,7 @@ LIGATURES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ĳ", "ij"), ("ð", "dh"
 SINGLE_LETTERS = {"ſ": "s", "ꝇ": "l", "ꝑ": "p", "ꝛ": "r", "ƿ": "w", "ᵹ": "g", "ꝺ": "d", "ꝼ": "f"}
 
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+_MOST_REPLACED = 400
 
 
 def char_class(chars: str) -> str:
@@ -42,11 +43,13 @@ def apply_alphabet(text: Column, alphabet: str, mapping: dict[str, str]) -> Colu
     code units.
     """
     letters = alphabet.replace(" ", "")
+    text = F.regexp_replace(text, _ASTRAL, "  ")
+    if set(mapping.values()) <= set(letters) and not set(mapping) & set(letters) and len(mapping) <= _MOST_REPLACED:
+        # no target is a source: single replacements scan bytes, much faster than a lookup of every character
+        return F.regexp_replace(replace_in_order(text, mapping), f"[^{char_class(letters + ' ')}]", " ")
     known = char_class(letters + "".join(mapping) + " ")
-    text = F.regexp_replace(F.regexp_replace(text, _ASTRAL, "  "), f"[^{known}]", " ")
-    if not mapping:
-        return text
-    return F.translate(text, "".join(mapping), "".join(mapping.values()))
+    text = F.regexp_replace(text, f"[^{known}]", " ")
+    return F.translate(text, "".join(mapping), "".join(mapping.values())) if mapping else text
 
 
 def reduce_phonetics(text: Column, alphabet: str, rules: dict[str, str]) -> Column:
