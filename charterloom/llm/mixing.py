@@ -130,9 +130,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, window: int = WINDOW_TOKE
     )
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows.n_tokens > 0].sort_values("n_tokens")
-        if rows.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in _PLAN.split(", ")})
+        rows = rows.sort_values("n_tokens")
         lengths, counts = rows.n_tokens.astype(int).tolist(), rows.n_docs.astype(int).tolist()
         size = sum(n * c for n, c in zip(lengths, counts, strict=True))
         budget, most = int(rows.budget.iloc[0]), int(rows.max_repeats.iloc[0])
@@ -140,7 +138,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, window: int = WINDOW_TOKE
         extra = [0] * len(lengths) if base >= most else fit_budget(lengths, counts, budget - base * size, window, seed)
         return pd.DataFrame({"source": key[0], "n_tokens": lengths, "n_docs": counts, "base_repeats": base, "n_extra": extra})
 
-    plan = materialize(histogram.join(wanted, "source").groupBy("source").applyInPandas(fit, _PLAN), "plan")
+    plan = materialize(histogram.where("n_tokens > 0").join(wanted, "source").groupBy("source").applyInPandas(fit, _PLAN), "plan")
     sums = plan.groupBy("source").agg(
         F.sum("n_docs").alias("n_docs"),
         F.sum(F.col("n_tokens") * F.col("n_docs")).alias("source_tokens"),

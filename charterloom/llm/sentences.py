@@ -144,6 +144,8 @@ def _next_class(text: str, at: int) -> tuple[int, str]:
     ch = text[k]
     m = _FIRST.match(text, k)
     word = m[0] if m else ch
+    if chr(0x10D0) <= ch <= chr(0x10FF):
+        return _PLAIN, word  # Georgian writes without case, though its letters count as lower case
     if ch.isupper() or ch.istitle():
         return _UPPER, word
     if ch.islower():
@@ -259,7 +261,7 @@ class Segmenter:
                 start = _GAP.match(text, stop).end()
                 evidence = 10.0 if start >= end else self._mark(text, begin, at, mark, stop, start, closed, lines)
                 if evidence is not None:
-                    last = stop
+                    last = start
                     if evidence < 4 and "\n" in text[stop:start] and start < end and lines.breaks(stop, start):
                         evidence = 10.0
                     yield stop, start, evidence
@@ -272,6 +274,8 @@ class Segmenter:
                     if "\n" not in m[0]:
                         yield at, m.end(), 8.0
                         continue
+                while at > last and text[at - 1] in _EDGE:  # a byte order mark before the break
+                    at -= 1
                 evidence = self._line(text, at, m.end(), lines)
                 if evidence is not None:
                     yield at, m.end(), evidence

@@ -51,6 +51,10 @@ _SHAPELESS = ("<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<media
 _ROMAN = range(0x2160, 0x2180)
 
 
+#: Half-width sound marks, which combine once their width is normal.
+_HALF_MARKS = chr(0xFF9E) + chr(0xFF9F)
+
+
 class Conflict(ValueError):
     """Two rules of the mapping contradict each other."""
 
@@ -137,13 +141,13 @@ class VisibleForm:
         hidden = {c for c in every if unicodedata.category(c) == "Cf" and c not in _DRAWN} | set(_BLANK)
         hidden |= {chr(c) for c in (*range(0x00, 0x09), *range(0x0E, 0x1C), 0x7F)}
         hidden -= set(_WHITE)
-        marks = {c for c in every if unicodedata.combining(c)} - hidden
+        marks = {c for c in every if unicodedata.combining(c) or c in _HALF_MARKS} - hidden
         self.white, self.hidden = frozenset(_WHITE), frozenset(hidden)
         w, h, m, x = (_char_class(s) for s in (_WHITE, hidden, marks, set(self.mapping) - marks))
         odd_white = _char_class(set(_WHITE) - {" "})
         jamo = _char_class(map(chr, range(0x1100, 0x1200)))
         blank = f"[{odd_white}{h}][{w}{h}]*|[ ][{w}{h}]+"  # white space and what is not seen
-        cluster = f"[{jamo}]+|[^{w}{h}{m}][{h}]*[{m}][{m}{h}]*"  # a letter and what combines with it
+        cluster = f"[{jamo}][{jamo}{h}]*|[^{w}{h}{m}][{h}]*[{m}][{m}{h}]*"  # a letter and what combines with it
         self.split = re.compile(f"({blank}|{cluster}|[{x}]|[{m}][{m}{h}]*)").split
         # the same rules without those that cannot match in a text that has nothing to combine
         self.split_plain = re.compile(f"({blank}|[{x}])").split
