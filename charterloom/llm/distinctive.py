@@ -38,17 +38,15 @@ def scored_terms(tokenized: DataFrame) -> DataFrame:
     mean = length / max(n, 1)
     heavy = totals.where(F.col("n_records") * HEAVY_PART > n)
     light = totals.where(F.col("n_records") * HEAVY_PART <= n)
-    columns = ["doc_idx", "token", "tf", "n_occurrences", "n_records"]
+    columns = ["doc_idx", "token", "tf", "doc_len", "n_occurrences", "n_records"]
     known = terms.join(F.broadcast(heavy), "token", "left")
     hot = known.where(F.col("n_records").isNotNull()).select(*columns)
-    cold = known.where(F.col("n_records").isNull()).select("doc_idx", "token", "tf").join(light.hint("shuffle_hash"), "token").select(*columns)
+    cold = known.where(F.col("n_records").isNull()).select("doc_idx", "token", "tf", "doc_len").join(light.hint("shuffle_hash"), "token").select(*columns)
     joined = hot.unionByName(cold)
-    lengths = terms.groupBy("doc_idx").agg(F.sum("tf").alias("doc_len"))
-    rows = joined.join(lengths, "doc_idx")
     rate = F.col("n_occurrences") / F.lit(float(max(n, 1)))
     tfn = F.col("tf") * F.log2(1 + F.lit(float(mean)) / F.col("doc_len"))
     information = F.log2(1 + rate) - tfn * F.log2(rate / (1 + rate))
-    return rows.select(
+    return joined.select(
         "doc_idx", "token", "tf", F.col("n_records").alias("df"), F.col("n_occurrences").alias("cf"),
         "doc_len", F.lit(n).cast("bigint").alias("n"), (information / (tfn + 1)).alias("score"),
     )
