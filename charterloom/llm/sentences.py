@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH_RANGE = 2.0
+LONG = 2000
 
 #: Abbreviations that never end a sentence.
 ABBREVIATIONS = frozenset("""
@@ -61,9 +62,9 @@ ou où par pour puis quand que qui sans selon si sous sur tous un une
 #: Words that no sentence ends with.
 NO_CLOSERS = frozenset("""
 et ac atque vel de in ad apud per pro sub cum ex ab inter post sine contra coram quod quia ut si quam ego nos neque
-and or the a an of to from at by with without for that if then we i which is are in on each
-und oder der die das dem den des ein eine einen einem einer von vor zu zum zur bei mit nach ohne wegen daß dass wenn so ich wir ist im in
-keinen keine kein le la les un une du des au aux ou que qui de à en dans par pour avec sans sur sous près je nous si chaque est
+and or the a an of to from at by with without for that if then we i which in on each
+und oder der die das dem den des ein eine einen einem einer von vor zu zum zur bei mit nach ohne wegen daß dass wenn so ich wir im in
+keinen keine kein le la les un une du des au aux ou que qui de à en dans par pour avec sans sur sous près je nous si chaque
 """.split())
 #: Words that go on after quoted speech in scripts without case.
 GOES_ON = ("而", "と", "って", "라고", "하고", "고")
@@ -86,6 +87,7 @@ _BULLET = re.compile(r"(?:[-*•‣▪◦–—·]|\d{1,3}[.)]|\(?[a-zA-Z0-9]{1,
 _NUMBERED = re.compile(r"[ \t]*\(?(?:\d{1,3}|[a-zA-Z])$")
 _COMBINING = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x591, 0x5C7), (0x900, 0x963)))
 _WORD_BACK = re.compile(r"[\w'" + chr(0x2019) + chr(0x5F3) + _COMBINING + "]+$")
+_NEXT_WORD = re.compile(r"\S+")
 _FIRST = re.compile(r"[\w]+")
 _ROMAN = re.compile(r"[IVXLCDM]+$|[ivxlcdm]+$")
 _NARROW = frozenset(" \xa0" + chr(0x2009) + chr(0x202F))
@@ -156,7 +158,12 @@ def _next_class(text: str, at: int) -> tuple[int, str]:
 
 
 def _length_score(words: int, chars: int) -> float:
-    """Within [-LENGTH_RANGE, 0]: one- and two-word fragments and very long spans are unlikely sentences."""
+    """Within [-LENGTH_RANGE, 0]: one- and two-word fragments and very long spans are unlikely sentences.
+
+    From ``LONG`` characters on the score no longer depends on the span.
+    """
+    if chars > LONG:
+        return -1.0
     if words <= 1:
         return -LENGTH_RANGE
     if words == 2:
@@ -214,10 +221,15 @@ class Segmenter:
             words.append(words[-1] + text.count(" ", starts[k], starts[k + 1]))
         total = words[-1] + text.count(" ", starts[-1], end)
         best, back = [0.0], [0]
+        near, far, far_by = 0, float("-inf"), 0  # spans from starts before ``near`` are long ones: only the best counts
         for j in range(len(stops)):
             upto = words[j + 1] - 1 if j < len(options) else total
-            top, by = float("-inf"), 0
-            for i in range(j, -1, -1):
+            while near < j and stops[j] - starts[near] > LONG:
+                if best[near] >= far:
+                    far, far_by = best[near], near
+                near += 1
+            top, by = far - 1.0, far_by
+            for i in range(j, near - 1, -1):
                 value = best[i] + _length_score(upto - words[i] + 1, stops[j] - starts[i])
                 if value > top:
                     top, by = value, i
@@ -419,7 +431,7 @@ class _Lines:
             return True
         line = text[self.line_start(stop) : stop].strip(_EDGE)
         follower = text[start : start + 1]
-        m = re.compile(r"\S+").match(text, start)
+        m = _NEXT_WORD.match(text, start)
         fits = len(line) + 1 + (len(m[0]) if m else 0) <= max(self.width, 45)
         if follower.islower():
             return False
