@@ -64,7 +64,7 @@ NO_CLOSERS = frozenset("""
 et ac atque vel de in ad apud per pro sub cum ex ab inter post sine contra coram quod quia ut si quam ego nos neque
 and or the a an of to from at by with without for that if then we i which in on each
 und oder der die das dem den des ein eine einen einem einer von vor zu zum zur bei mit nach ohne wegen daß dass wenn so ich wir im in
-keinen keine kein le la les un une du des au aux ou que qui de à en dans par pour avec sans sur sous près je nous si chaque
+keinen keine kein le la les un une du des au aux ou que qui de à en dans par pour avec sans sur sous je nous si chaque
 """.split())
 #: Words that go on after quoted speech in scripts without case.
 GOES_ON = ("而", "と", "って", "라고", "하고", "고")
