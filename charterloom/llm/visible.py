@@ -36,7 +36,7 @@ from charterloom.plans.materialize import materialize
 #: Letters and marks that look like the character before the colon.
 LOOK_ALIKES = """
 A:ΑА B:ΒВ C:СϹ E:ΕЕ F:Ϝ G:Ԍ H:ΗН I:ΙІӀ J:ЈͿ K:ΚК M:ΜМ N:Ν O:ΟОՕ P:ΡР Q:Ԛ S:ЅՏ T:ΤТ U:Ս V:Ѵ W:Ԝ X:ΧХ Y:ΥҮ Z:Ζ
-a:аɑ c:сϲ d:ԁ e:е g:ɡց h:һհ i:іι j:јϳ l:ӏ n:ո o:оοօ p:рρ q:ԛզ s:ѕ u:սυ v:νѵ w:ԝ x:х y:уү
+a:аɑ c:сϲ d:ԁ e:е g:ɡց h:һհ i:і j:јϳ l:ӏ n:ո o:оοօ p:рρ q:ԛզ s:ѕ u:ս v:νѵ w:ԝ x:х y:уү
 ä:ӓ æ:ӕ ə:ә þ:ϸ μ:µ Π:П Γ:Г Φ:Ф
 -:‐‑ ::∶꞉ /:⁄∕ |:ǀ !:ǃ
 """
