@@ -1,0 +1,28 @@
+"""Bounded parts of Arrow batches, so that a worker's memory does not depend on how long records are."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+MOST_ELEMENTS = 1_000_000
+MOST_ROWS = 1024
+
+
+def by_elements(batch: pa.RecordBatch, column: int, most: int = MOST_ELEMENTS) -> Iterator[pa.RecordBatch]:
+    """Slices with at most ``most`` list elements in a column, or with one row."""
+    ends = batch.column(column).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(ends, ends[at] + most, side="right")) - 1
+        stop = min(max(stop, at + 1), batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def by_rows(batch: pa.RecordBatch, most: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` rows."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)

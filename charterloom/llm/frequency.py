@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from charterloom.llm.batches import by_elements
 from charterloom.sources.tables import latest_rows
 
 RARE_OCCURRENCES = 2
@@ -48,7 +49,7 @@ def record_terms(rows: DataFrame) -> DataFrame:
     """(doc_idx, token, tf, doc_len): the term counts of each record and its number of terms, taken where the record is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_elements(whole, 1)):
             terms, row, code, count = _batch_counts(batch.column(1))
             length = np.bincount(row, weights=count, minlength=1).astype(np.int64)[row]
             columns = [batch.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(count), pa.array(length)]
@@ -61,7 +62,7 @@ def collection_counts(rows: DataFrame) -> DataFrame:
     """(token, n_occurrences, n_records) of each batch: the records' counts combined before they leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_elements(whole, 0)):
             terms, _, code, count = _batch_counts(batch.column(0))
             held = np.bincount(code, minlength=len(terms))[: len(terms)]
             total = np.bincount(code, weights=count, minlength=len(terms))[: len(terms)].astype(np.int64)

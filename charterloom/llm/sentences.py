@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charterloom.llm.batches import by_rows
+
 LENGTH_RANGE = 2.0
 LONG = 2000
 
@@ -448,8 +450,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in by_rows(batch):
                 rows, starts, stops = [], [], []
                 for k, t in enumerate(part.column(1).to_pylist()):
                     spans = segment(t)

@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from charterloom.llm.batches import by_rows
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: The split pattern of the vocabulary's family, with Unicode white space spelt out (fixed value).
@@ -217,8 +219,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value.prepare()
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
+            for part in by_rows(batch, _ROWS):
                 rows = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 ends = np.zeros(len(rows) + 1, dtype=np.int32)
                 np.cumsum([len(r) for r in rows], out=ends[1:])
@@ -237,7 +238,7 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value.prepare()
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_rows(whole, _ROWS)):
             sizes = pa.array([bpe.count(t) for t in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], names=[*keep, size])
 

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charterloom.llm.batches import by_rows
 from charterloom.plans.materialize import materialize
 
 #: Letters and marks that look like the character before the colon.
@@ -194,7 +195,7 @@ def normalize_visible(df: DataFrame, key: str = "doc_idx", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = visible_form()
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_rows(whole)):
             shown = pa.array([form(t) for t in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), shown], names=[key, "text"])
 
@@ -207,7 +208,7 @@ def form_keys(df: DataFrame, key: str, text: str, at: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form, digest = visible_form(), xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_rows(whole)):
             keep, forms, stored = [], [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
                 if t and (shown := form(t)):
