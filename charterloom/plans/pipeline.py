@@ -37,8 +37,12 @@ def tokenize(docs: DataFrame, config: Config) -> DataFrame:
     return materialize(bpe.tokenize(norm, merges, ["doc_idx", "corpus"]), "tokens")
 
 
-def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) -> tuple[DataFrame, DataFrame, Config]:
-    """(weights, pairs, config) of tokenised documents; the config may have tuned window settings."""
+def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) -> tuple[DataFrame, DataFrame, Config, int]:
+    """(weights, pairs, config, diagonal) of tokenised documents; the config may have tuned window settings.
+
+    The diagonal of a corpus against itself has one entry per document with
+    features, shared or not, so it is counted before weights drop the others.
+    """
     dictionary = materialize(encode.token_dictionary(tokens), "ids")
     size = dictionary.count()
     encoded = materialize(encode.encode(tokens, dictionary, ["doc_idx", "corpus"]), "encoded")
@@ -49,15 +53,15 @@ def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) ->
     postings = materialize(features.feature_counts(encoded, size, ["doc_idx", "corpus"], config.ngram, config.n_out), "postings")
     weights = materialize(similarity.shared_weights(postings, docs.count()), "weights")
     pairs = similarity.cosine_inter(weights) if inter else similarity.cosine_intra(weights)
-    return weights, materialize(pairs, "pairs"), config
+    diagonal = 0 if inter else postings.select("doc_idx").distinct().count()
+    return weights, materialize(pairs, "pairs"), config, diagonal
 
 
 def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None = None) -> Result:
     """All stages over loaded documents (doc_idx, corpus, name, path, text); reports go to ``folder``."""
     docs = materialize(docs.select("doc_idx", "corpus", "name", "path", "text"), "docs")
     tokens = tokenize(docs, config)
-    weights, pairs, config = compare(docs, tokens, config, inter)
-    diagonal = 0 if inter else weights.select("doc_idx").distinct().count()
+    weights, pairs, config, diagonal = compare(docs, tokens, config, inter)
     cutoff = threshold.choose(threshold.weighted_scores(pairs, diagonal) if not inter else pairs.select("score", F.lit(1).cast("bigint").alias("weight")), config.similarity_threshold, config.auto_threshold_method)
     files = []
     if folder:

@@ -456,6 +456,22 @@ def test_pipeline(spark, tmp_path, two):
         pipeline.run_folders(spark, Config(), "x")
 
 
+def test_threshold_counts_documents_that_share_nothing(spark):
+    rows = [(k, 1, f"n{k}", f"p{k}", " ".join(chr(97 + (5 * k + q) % 26) * 3 for q in range(4))) for k in range(5)]
+    rows += [(k, 1, f"n{k}", f"p{k}", "uvu wvw xyx zyz" + " uwu" * (k - 8)) for k in (8, 9)]
+    docs = spark.createDataFrame(rows, "doc_idx bigint, corpus int, name string, path string, text string")
+    for method in ("otsu", "percentile"):
+        result = pipeline.run(docs, Config(ngram=3, n_out=0, auto_threshold_method=method))
+        scores = [x["score"] for x in result.pairs.collect()]
+        tokens = {x["doc_idx"]: x["tokens"] for x in result.tokens.collect()}
+        assert len(scores) == 1 and all(len(t) >= 3 for t in tokens.values())
+        full = scores * 2 + [1.0] * len(rows)
+        expected = brute_otsu(full) if method == "otsu" else np.percentile(full, 99)
+        assert abs(result.threshold - expected) < 1e-9
+    alone = pipeline.run(docs.where("doc_idx < 5"), Config(ngram=3, n_out=0))
+    assert alone.pairs.count() == 0 and alone.threshold == 1.0
+
+
 def test_arrivals(spark, tmp_path):
     ids, dictionary = encoded(spark, docs_of(11, v=4))
     known = M.materialize(similarity.shared_weights(features.feature_counts(ids, len(dictionary), ["doc_idx", "corpus"], 3, 0), 25), "known")
