@@ -11,6 +11,8 @@ from charterloom.operators.features import feature_counts
 def match_arrivals(arrivals: DataFrame, weights: DataFrame, vocabulary: int, n: int, ngram: int = 6, n_out: int = 1) -> DataFrame:
     """(doc_idx, j, score) of each batch of encoded arrivals (doc_idx, ids) against corpus weights.
 
+    ``weights`` are ``similarity.corpus_weights``: an arrival may share a
+    feature with one corpus document only, which ``shared_weights`` leaves out.
     For use in ``foreachBatch``: document frequencies and norms of the corpus
     stay as they are, features it does not know count only in the arrival's
     norm with a frequency of zero.

@@ -489,6 +489,17 @@ def test_arrivals(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
 
 
+def test_arrival_equal_to_a_text_that_shares_nothing(spark):
+    rows = [(0, 1, list("abcdefgh")), (1, 1, list("ijklmnop")), (2, 1, list("qrstuvwx")), (3, 1, list("qrstuvyz"))]
+    ids, dictionary = encoded(spark, rows)
+    postings = M.materialize(features.feature_counts(ids, len(dictionary), ["doc_idx", "corpus"]), "postings")
+    weights = M.materialize(similarity.corpus_weights(postings, len(rows)), "weights")
+    assert weights.columns == ["doc_idx", "corpus", "feature", "df", "w"] and weights.count() == postings.count()
+    got = {(r["doc_idx"], r["j"]): r["score"] for r in match_arrivals(ids.select("doc_idx", "ids"), weights, len(dictionary), len(rows)).collect()}
+    assert got.keys() == {(k, k) for k in range(4)} | {(2, 3), (3, 2)}
+    assert all(abs(got[k, k] - 1) < 1e-9 for k in range(4)) and 0 < got[2, 3] < 1
+
+
 def test_command_line():
     from charterloom.__main__ import parse
 
