@@ -192,6 +192,38 @@ def test_subwords_equal_a_public_trainer(spark):
     assert got == {1: model.encode(text).tokens, 2: [], 3: []}
 
 
+@pytest.mark.parametrize("letters,size", [("abc", 40), ("abcdefgh", 60)])
+def test_merges_come_from_all_words_at_any_size(spark, letters, size):
+    r = random.Random(12)
+    counts = {"".join(r.choice(letters) for _ in range(r.randint(1, 9))): r.randint(1, 4) for _ in range(150)}
+    df = M.materialize(spark.createDataFrame(list(counts.items()), "word string, freq bigint"), "words")
+    expected = bpe.learn_merges(counts, size).pairs
+    assert bpe.learn(df, size).pairs == expected and bpe.learn(df, size, most=20).pairs == expected
+    if letters == "abc":
+        assert bpe.learn_in_rounds(df, 14, most_pairs=2).pairs == expected[:6]
+    assert bpe.learn_in_rounds(df.limit(0), size).pairs == []
+
+
+def test_certain_merges_are_those_of_a_full_recount():
+    r = random.Random(13)
+    for _ in range(150):
+        counts = {"".join(r.choice("abcd") for _ in range(r.randint(1, 9))): r.randint(1, 9) for _ in range(40)}
+        alphabet, size, most = sorted({c for w in counts for c in w}), r.randint(9, 70), r.choice([1, 5, 999])
+        ids, merges = {c: bpe.SPECIAL + k for k, c in enumerate(alphabet)}, []
+        words, first = [([ids[c] for c in w], n) for w, n in counts.items()], bpe.SPECIAL + len(alphabet)
+        while first + len(merges) < size:
+            total = Counter()
+            for parts, n in words:
+                for pair in itertools.pairwise(parts):
+                    total[pair] += n
+            rows = sorted(((a, b, n) for (a, b), n in total.items()), key=lambda x: (-x[2], x[0], x[1]))[:most]
+            if not rows:
+                break
+            steps = bpe.certain_merges(rows, len(rows) < most, ids, merges, first, size - first - len(merges))
+            words = [(bpe._merged(parts, steps, {s[:2] for s in steps}), n) for parts, n in words]
+        assert merges == bpe.learn_merges(counts, size).pairs
+
+
 def test_merges_keep(tmp_path):
     merges = bpe.learn_merges({"abab": 3, "ab": 2}, 9)
     merges.save(tmp_path / "m.json")
