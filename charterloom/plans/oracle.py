@@ -144,6 +144,9 @@ FROM one a JOIN wt b ON a.feature = b.feature AND b.corpus = 2 GROUP BY ALL""",
     "similarity_dense": f"""WITH {_STORED}, f AS (SELECT doc_idx FROM formulary),
 cells AS (SELECT i, j, score FROM st WHERE i <> j UNION ALL SELECT j, i, score FROM st WHERE i <> j UNION ALL SELECT doc_idx, doc_idx, 1.0 FROM f)
 SELECT a.doc_idx AS i, b.doc_idx AS j, coalesce(score, 0.0) AS score FROM f a CROSS JOIN f b LEFT JOIN cells c ON c.i = a.doc_idx AND c.j = b.doc_idx""",
+    "similarity_dense_corpus": f"""WITH {_STORED}, c AS (SELECT DISTINCT doc_idx FROM corpus WHERE doc_idx IS NOT NULL),
+cells AS (SELECT i, j, score FROM st UNION ALL SELECT j, i, score FROM st WHERE i <> j)
+SELECT c.doc_idx AS i, f.doc_idx AS j, coalesce(score, 0.0) AS score FROM c CROSS JOIN formulary f LEFT JOIN cells ON cells.i = c.doc_idx AND cells.j = f.doc_idx""",
     "stored_pairs": f"WITH {_STORED} SELECT i, j, score FROM st",
     "otsu_threshold": f"""WITH {_STORED}, sc AS (SELECT score, CASE WHEN i = j THEN 1 ELSE 2 END AS wgt FROM st),
 lim AS (SELECT min(score) AS lo, max(score) AS hi FROM sc),

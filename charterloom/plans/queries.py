@@ -278,6 +278,13 @@ def similarity_dense(spark, d):
     return similarity.dense_matrix(pairs, rows, columns, True)
 
 
+@query
+def similarity_dense_corpus(spark, d):
+    rows = table(spark, d, "corpus").where("doc_idx is not null").select(F.col("doc_idx").alias("i")).distinct()
+    columns = table(spark, d, "formulary").select(F.col("doc_idx").alias("j"))
+    return similarity.dense_rows(stored(spark, d), rows, columns)
+
+
 # thresholds and filters
 
 

@@ -330,6 +330,16 @@ def test_dense(spark):
         similarity.dense_matrix(pairs, ids, ids.withColumnRenamed("i", "j"), True, limit=3)
 
 
+def test_dense_rows(spark):
+    rows = spark.createDataFrame([(k,) for k in range(5)], "i bigint")
+    columns = spark.createDataFrame([(7,), (8,), (2,)], "j bigint")
+    pairs = spark.createDataFrame([(0, 7, 0.5), (3, 8, 0.25), (0, 1, 0.9), (7, 8, 0.8), (2, 4, 0.3)], "i bigint, j bigint, score double")
+    got = {(r["i"], r["j"]): r["score"] for r in similarity.dense_rows(pairs, rows, columns, limit=4).collect()}
+    assert got == {(a, b): {(0, 7): 0.5, (3, 8): 0.25, (4, 2): 0.3}.get((a, b), 0.0) for a in range(5) for b in (7, 8, 2)}
+    with pytest.raises(ValueError):
+        similarity.dense_rows(pairs, rows, columns, limit=3)
+
+
 # thresholds
 
 

@@ -37,3 +37,15 @@ def test_sql(spark, name):
     columns = sorted(got.columns)
     expected = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert rounded(got.select(*columns).collect()) == rounded(expected)
+
+
+@needs_data
+def test_dense_corpus_holds_the_stored_scores(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{FOLDER}/{f}'")
+    expected = con.execute(f"SELECT i, j, score FROM ({entry.oracle_sql()['similarity_dense_corpus']})").fetchall()
+    got = entry.queries()["similarity_dense_corpus"](spark, FOLDER).select("i", "j", "score").collect()
+    assert rounded(got) == rounded(expected) and any(0 < r["score"] < 1 for r in got)
