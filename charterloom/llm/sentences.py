@@ -23,6 +23,7 @@ Rows are processed one by one; repeated rows repeat their sentences.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,6 +89,9 @@ _CANDIDATE = re.compile(f"[{_MARKS}]+|[^\\S\n]*\n[{_EDGE}]*|(?<=[{_NO_MARKS}])[
 _BULLET = re.compile(r"(?:[-*•‣▪◦–—·]|\d{1,3}[.)]|\(?[a-zA-Z0-9]{1,2}\)|\(\d{1,3}\))[ \t\xa0]+\S|§\s*\d+\s*(?:\n|$)")
 _NUMBERED = re.compile(r"[ \t]*\(?(?:\d{1,3}|[a-zA-Z])$")
 _COMBINING = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x591, 0x5C7), (0x900, 0x963)))
+_COMBINING += "".join(c for c in map(chr, range(0x964, 0xE00)) if unicodedata.category(c) in ("Mn", "Mc"))  # vowel signs of the other Indic scripts
+#: Words of Devanagari that are shortened with a period where sentences may close with one too.
+INDIC_ABBREVIATIONS = frozenset("डॉ डा श्री सौ प्रो पं कु रु ता इ उदा क्र पृ सं स्व".split())
 _WORD_BACK = re.compile(r"[\w'" + chr(0x2019) + chr(0x5F3) + _COMBINING + "]+$")
 _NEXT_WORD = re.compile(r"\S+")
 _FIRST = re.compile(r"[\w]+")
@@ -381,7 +385,13 @@ class Segmenter:
         if _ROMAN.match(own) and own.isupper():
             return -10.0 if kind == _LOWER else None
         if chr(0x900) <= own[-1] <= chr(0xDFF):
-            return -10.0  # scripts that close with a danda
+            if lines.dandas or low in INDIC_ABBREVIATIONS or len(own) == 1:
+                return -10.0  # a text that closes with a danda, an abbreviation or an initial
+            k = own_at - 1
+            while k >= begin and text[k] in _EDGE:
+                k -= 1
+            if sum(c.isalpha() for c in own) == 1 and (k < begin or text[k] in _MARKS_SET):
+                return -10.0  # an initial with its vowel sign, before which nothing of a sentence stands
         if touching and kind == _UPPER and len(own) <= 2:
             return -10.0
         if dotted and len(own) <= 2:
@@ -416,6 +426,7 @@ class _Lines:
 
     def __init__(self, text: str) -> None:
         self.text = text
+        self.dandas = "\u0964" in text or "\u0965" in text
         self.width = max((len(x) for x in text.split("\n")), default=0) if "\n" in text else 0
 
     def line_start(self, at: int) -> int:

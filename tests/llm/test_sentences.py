@@ -52,6 +52,19 @@ def test_case(case):
     assert [text[a:b] for a, b in segment(text)] == expected
 
 
+@pytest.mark.parametrize("case", [
+    "तो घरी गेला.| मी आलो.| डॉ. जोशी आले.",
+    "वि. वा. जोशी आले.| ते गेले.",
+    "जन डनह. बेच गया।| के डुह।",
+    "તે ઘર ગયો.| હું આવ્યો.",
+    "அவன் வந்தான்.| ஒரு படம.| நான் போனேன்.",
+    "అతను వచ్చాడు.| ఇది మన ఇల.| నేను వెళ్ళాను.",
+])
+def test_indic_scripts_that_close_with_a_period(case):
+    text = case.replace("|", "")
+    assert [text[a:b] for a, b in segment(text)] == [p.strip(_EDGE) for p in case.split("|")]
+
+
 def test_spans_are_ordered_and_cover_all_but_space():
     r = random.Random(8)
     pool = ["Wort ", "wort", ". ", "! ", "\n", "\n\n", '"', "«", "»", "(", ")", "'", "etc. ", "1272. ", "- ", "漢", "。", "ก ", "…", "St. ", " ", "﻿"]
