@@ -5,6 +5,10 @@ picks the spans with the best total score.  A span is scored as a whole by its
 length, the words it opens and closes with, and whether the quotations and
 brackets in it are balanced.
 
+That holds for candidates that rules leave undecided, which are marks after an
+ellipsis or before a lower-case letter; rules alone settle hard marks, line
+breaks, closed quotations and single periods.
+
 Boundaries can only stand at candidates: sentence marks with what closes after
 them, line breaks, and the spaces of scripts that write no sentence mark.
 Quotations are paired once per document, so a candidate within one is
