@@ -50,6 +50,7 @@ _DRAWN = frozenset(map(chr, (*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0
 #: Compatibility kinds that change no visible shape; plain <compat> is judged by its letters.
 _SHAPELESS = ("<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
 _ROMAN = range(0x2160, 0x2180)
+_IDEOGRAPHS = range(0x2F800, 0x2FA20)  # compatibility ideographs
 
 
 #: Half-width sound marks, which combine once their width is normal.
@@ -92,12 +93,12 @@ def build_mapping() -> dict[str, str]:
     else :class:`Conflict` is raised; so the form is the same however often it
     is taken.
     """
-    raw = {chr(c): s for c in (*range(0x80, 0xD800), *range(0xF900, 0x20000)) if (s := _by_rule(chr(c))) is not None}
+    raw = {chr(c): s for c in (*range(0x80, 0xD800), *range(0xF900, 0x20000), *_IDEOGRAPHS) if (s := _by_rule(chr(c))) is not None}
     for source, target in look_alikes().items():
         if raw.get(source, target) != target and len(raw[source]) > 1:
             raise Conflict(f"{source!r} is both {raw[source]!r} and {target!r}")
         raw[source] = target
-    for code in (*range(0xC0, 0xD800), *range(0xF900, 0x20000)):  # composed letters follow their base letter
+    for code in (*range(0xC0, 0xD800), *range(0xF900, 0x20000), *_IDEOGRAPHS):  # composed letters follow their base letter
         parts = unicodedata.normalize("NFD", chr(code))
         shown = unicodedata.normalize("NFC", "".join(raw.get(c, c) for c in parts))
         if shown != chr(code):
@@ -133,6 +134,13 @@ class _Clusters(dict):
         return out
 
 
+def second_parts(characters: list[str]) -> set[str]:
+    """What stands second in a canonical composition of ``characters``, combining class 0 included."""
+    parts = {c: unicodedata.decomposition(c).split() for c in characters}
+    pairs = {c: "".join(chr(int(x, 16)) for x in p) for c, p in parts.items() if len(p) == 2 and p[0][0] != "<"}
+    return {p[1] for c, p in pairs.items() if unicodedata.normalize("NFC", p) == c}
+
+
 class VisibleForm:
     """The compiled transducer."""
 
@@ -142,7 +150,8 @@ class VisibleForm:
         hidden = {c for c in every if unicodedata.category(c) == "Cf" and c not in _DRAWN} | set(_BLANK)
         hidden |= {chr(c) for c in (*range(0x00, 0x09), *range(0x0E, 0x1C), 0x7F)}
         hidden -= set(_WHITE)
-        marks = {c for c in every if unicodedata.combining(c) or c in _HALF_MARKS} - hidden
+        marks = {c for c in every if unicodedata.combining(c) or c in _HALF_MARKS}
+        marks = (marks | second_parts(every)) - hidden
         self.white, self.hidden = frozenset(_WHITE), frozenset(hidden)
         w, h, m, x = (_char_class(s) for s in (_WHITE, hidden, marks, set(self.mapping) - marks))
         odd_white = _char_class(set(_WHITE) - {" "})

@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -348,3 +349,13 @@ def test_pairs_that_look_the_same(spark):
     forms = visible.normalize_visible(df).collect()
     assert len(forms) == len(rows) and all(x["text"] == form(texts.get(x["doc_idx"], "Anno domini")) for x in forms)
     assert visible.look_same_pairs(df.limit(0)).collect() == []
+
+
+def test_canonically_equal_spellings_have_one_form():
+    form = visible.visible_form()
+    other = [c for c in map(chr, (*range(0xC0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20))) if unicodedata.normalize("NFD", c) != c]
+    assert [hex(ord(c)) for c in other if form(f"x{c}y") != form(f"x{unicodedata.normalize('NFD', c)}y")] == []
+    for parts in ((0x9C7, 0x9BE), (0xBC6, 0xBBE), (0xD46, 0xD3E), (0xCC6, 0xCC2, 0xCD5), (0xDD9, 0xDCF, 0xDCA)):
+        spelled = "".join(map(chr, parts))
+        assert form(spelled) == unicodedata.normalize("NFC", spelled) == form(form(spelled))
+    assert form(chr(0x2F800)) == chr(0x4E3D)
