@@ -1,23 +1,29 @@
 """Sentence boundaries across languages and scripts (problem 8).
 
 A semi-Markov model: a document is a row of spans, and dynamic programming
-picks the spans with the best total score.  A span is scored as a whole by its
-length, the words it opens and closes with, and whether the quotations and
-brackets in it are balanced.
-
-That holds for candidates that rules leave undecided, which are marks after an
-ellipsis or before a lower-case letter; rules alone settle hard marks, line
-breaks, closed quotations and single periods.
-
-Boundaries can only stand at candidates: sentence marks with what closes after
-them, line breaks, and the spaces of scripts that write no sentence mark.
-Quotations are paired once per document, so a candidate within one is
-unbalanced on both sides and drops out.  The length term of a span lies in
-[-LENGTH_RANGE, 0]; a candidate whose own evidence exceeds twice that range
-must be in the best segmentation and one below minus the range cannot be, so
-both are settled at once and dynamic programming runs over the undecided ones
-between two settled boundaries.  This loses nothing and keeps the work linear
-in all but contrived texts.
+over all candidate boundaries picks the spans with the greatest total score.
+The score of a span is the sum of
+
+* opening: what the span begins with (kind of letter, words that open
+  sentences, a list bullet, a place within a quotation),
+* closing: what it ends with (the mark, the word before it, the kind of line
+  break, a place within a quotation),
+* joint terms, never positive, that depend on both ends: spans of one or two
+  words and very long ones, a list number alone, a line without a final mark
+  that is neither list line nor heading, and a bracket or a quotation in a
+  script without case that closes a span which it does not open.
+
+Word lists and marks are graded features of these sums, none is a verdict.
+Candidates are sentence marks with what closes after them, line breaks, and
+the spaces of scripts that write no sentence mark; a mark within a word or
+number (3.14, kartular.example) is none.
+
+For the span that ends at a candidate the earlier starts are looked at from
+the nearest on.  A start is left out if an earlier one beats it for every end,
+its greater length included, and the search ends where the best total before a
+start, less the cost of the length reached, cannot beat what was found; as
+joint terms are never positive, neither loses anything.  Equal totals go to the
+fewer spans.
 
 Offsets are code points, 0-based, end exclusive, without white space or byte
 order marks around a sentence.  Null, empty and blank texts have no sentences.
@@ -36,10 +42,21 @@ from pyspark.sql import functions as F
 
 from charterloom.llm.batches import by_rows
 
-LENGTH_RANGE = 2.0
-LONG = 2000
-
-#: Abbreviations that never end a sentence.
+# Scores of what a span closes with.
+HARD, MARK, QUOTED, ELLIPSIS, COLON, BLANK_LINE, WIDE_SPACE, SHORT_LINE = 12.0, 4.0, 5.0, -0.5, 0.5, 12.0, 9.0, 3.0
+ABBREVIATED, MAY_CLOSE, CUT_SHORT = -8.0, -4.5, -3.0
+# Scores of what a span opens with.
+CAPITAL, SMALL, OPENER, BULLET, GOES_ON_SMALL = 2.0, -1.0, 1.0, 9.0, -9.0
+# For each end of a span that lies within a quotation.
+UNBALANCED = -8.0
+# Joint terms.
+ONE_WORD, TWO_WORDS, BARE_NUMBER, WRAPPED, NOT_ALONE = -2.0, -1.0, -8.0, -9.0, -12.0
+#: Characters that a span may have at no cost, and characters that cost a point beyond.
+FREE_LENGTH, LENGTH_STEP = 600, 400.0
+#: A span of so many characters has more than two words, or they are long ones.
+FEW_WORDS = 40
+
+#: Abbreviations that rarely end a sentence.
 ABBREVIATIONS = frozenset("""
 art bzw ca cal cap cf ch chap cod den dni dns dr ebd eccl ed eds env epist esp evtl ex fig fl fo fol frz geb gest ggf hl hll hrsg ibid
 idib inkl jh jhd jr kal kap kartular lib lic m mag mgr mme mlle mr mrs ms mss nr no non op p par pf pp prep prof rev s scil sect sen
@@ -50,7 +67,7 @@ sogen sol sr st ste sub sup tab tit u usf vgl vol vols vs z zzgl add abb anm bd
 CLOSING_ABBREVIATIONS = frozenset("etc usw ff г т.д т.п".split())
 #: Abbreviations only before a number.
 BEFORE_NUMBERS = frozenset("no nos art ch ex fig add lib cap vol p pp f ff l s z c sp col n nr".split())
-#: Words after which a numbered date goes on.
+#: Words with which a numbered date goes on.
 AFTER_ORDINALS = frozenset("""
 jh jhd jahrhundert jahrhunderts januar februar märz april mai juni juli august september oktober november dezember
 tag tage monat woche kapitel band
@@ -66,7 +83,7 @@ von vor wegen wenn wer wie wir zu zum zur
 à après au aussi avant avec ce cette chaque comme dans de depuis des devant donc elle en entre et il ils je la le les lorsque mais nous on
 ou où par pour puis quand que qui sans selon si sous sur tous un une
 """.split())
-#: Words that no sentence ends with.
+#: Words that a sentence rarely ends with.
 NO_CLOSERS = frozenset("""
 et ac atque vel de in ad apud per pro sub cum ex ab inter post sine contra coram quod quia ut si quam ego nos neque
 and or the a an of to from at by with without for that if then we i which in on each
@@ -77,8 +94,10 @@ keinen keine kein le la les un une du des au aux ou que qui de à en dans par po
 GOES_ON = ("而", "と", "って", "라고", "하고", "고")
 
 _HARD = frozenset("。！？｡।॥۔؟።፧։‼⁇⁈⁉！？။៕።᙮᠃᠉꓿꘎꛳⸮")
-_SOFT = ".!?…‥．;" + chr(0x37E)
+_SOFT = ".!?…‥．;:" + chr(0x37E)
+_GREEK_QUESTION = ";" + chr(0x37E)
 _MARKS = re.escape("".join(sorted(_HARD)) + _SOFT)
+_MARKS_SET = frozenset("".join(_HARD) + ".!?…‥．")
 _QUOTES = {"«": "»", "‹": "›", "„": "“”", "‚": "‘’", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉", "“": "”", "‘": "’"}
 _SELF = "\"'"
 _CLOSERS = frozenset("".join(_QUOTES.values()))
@@ -88,52 +107,64 @@ _QUOTE = re.compile("[" + re.escape("".join({*_QUOTES, *_CLOSERS, *_SELF})) + r"
 _EDGE = " \t\r\n\v\f\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 _GAP = re.compile(f"[{_EDGE}]*")
 #: Blocks of scripts that write no sentence mark: Thai and Lao.
-_NO_MARKS = "".join(map(chr, (0x0E00,))) + "-" + chr(0x0EFF)
+_NO_MARKS = chr(0x0E00) + "-" + chr(0x0EFF)
 _CANDIDATE = re.compile(f"[{_MARKS}]+|[^\\S\n]*\n[{_EDGE}]*|(?<=[{_NO_MARKS}])[ \xa0]+(?=[{_NO_MARKS}])")
 _BULLET = re.compile(r"(?:[-*•‣▪◦–—·]|\d{1,3}[.)]|\(?[a-zA-Z0-9]{1,2}\)|\(\d{1,3}\))[ \t\xa0]+\S|§\s*\d+\s*(?:\n|$)")
-_NUMBERED = re.compile(r"[ \t]*\(?(?:\d{1,3}|[a-zA-Z])$")
-_COMBINING = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x591, 0x5C7), (0x900, 0x963)))
-_COMBINING += "".join(c for c in map(chr, range(0x964, 0xE00)) if unicodedata.category(c) in ("Mn", "Mc"))  # vowel signs of the other Indic scripts
+_ARMENIAN = frozenset(map(chr, range(0x531, 0x589)))
+_COMBINING = frozenset(chr(c) for a, b in ((0x300, 0x36F), (0x591, 0x5C7), (0x900, 0x963)) for c in range(a, b + 1))
+_COMBINING |= {c for c in map(chr, range(0x964, 0xE00)) if unicodedata.category(c) in ("Mn", "Mc")}  # vowel signs of the other Indic scripts
+_IN_WORD = _COMBINING | set("_'" + chr(0x2019) + chr(0x5F3))
 #: Words of Devanagari that are shortened with a period where sentences may close with one too.
 INDIC_ABBREVIATIONS = frozenset("डॉ डा श्री सौ प्रो पं कु रु ता इ उदा क्र पृ सं स्व".split())
-_WORD_BACK = re.compile(r"[\w'" + chr(0x2019) + chr(0x5F3) + _COMBINING + "]+$")
 _NEXT_WORD = re.compile(r"\S+")
 _FIRST = re.compile(r"[\w]+")
 _ROMAN = re.compile(r"[IVXLCDM]+$|[ivxlcdm]+$")
 _NARROW = frozenset(" \xa0" + chr(0x2009) + chr(0x202F))
-_OPENING = frozenset("\"'«„“‹‘‚»›(「『[（《〈¿¡—–-•*·")
+_OPENING = "\"'«„“‹‘‚‚»›(「『[（《〈¿¡—–-•*·"
+_OPENING_SET = frozenset(_OPENING)
+_UP_TO_WORD = re.compile("[" + re.escape(_OPENING) + _EDGE + "]*")
+_UP_TO_LETTER = re.compile("[" + re.escape(_OPENING) + _EDGE + "0-9]*")
 
 _UPPER, _LOWER, _DIGIT, _PLAIN, _END = range(5)
 
 
 def pair_quotes(text: str) -> dict[int, int]:
-    """Position of each closing quote or bracket to that of its opening one; pairs do not cross blank lines."""
+    """Position of each closing quote or bracket to that of its opening one; pairs do not cross blank lines.
+
+    A closing mark takes the last opening one that waits for it, however deep.
+    """
     pairs: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []
+    stack: list[int] = []
+    waiting: dict[str, list[int]] = {}
     n = len(text)
     for m in _QUOTE.finditer(text):
         ch, at = m[0], m.start()
         if len(ch) > 1 or ch == "\n":
             stack.clear()
+            waiting.clear()
             continue
         before, after = text[at - 1] if at else " ", text[at + 1] if at + 1 < n else " "
         if ch in "'’‘" and before.isalnum() and after.isalnum():
             continue
-        for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-            if ch in stack[k][0]:
-                closes = ch not in _SELF or not before.isspace() or after.isspace() or not after.isalnum()
-                if closes:
-                    pairs[at] = stack[k][1]
-                    del stack[k:]
-                    break
+        places = waiting.get(ch)
+        if places and (ch not in _SELF or not before.isspace() or after.isspace() or not after.isalnum()):
+            k = places[-1]
+            pairs[at] = stack[k]
+            del stack[k:]
+            for others in waiting.values():
+                while others and others[-1] >= k:
+                    others.pop()
+            continue
+        if ch in _SELF:
+            closers = ch if not before.isalnum() and not (after.isspace() and not before.isspace()) else ""
+        elif ch in _QUOTES:
+            closers = _QUOTES[ch]
         else:
-            if ch in _SELF:
-                if not before.isalnum() and not (after.isspace() and not before.isspace()):
-                    stack.append((ch, at))
-            elif ch in _QUOTES:
-                stack.append((_QUOTES[ch], at))
-            elif ch in _REVERSED and (before.isspace() or before in "(:") and not after.isspace():
-                stack.append((_REVERSED[ch], at))
+            closers = _REVERSED[ch] if ch in _REVERSED and (before.isspace() or before in "(:") and not after.isspace() else ""
+        if closers:
+            for c in closers:
+                waiting.setdefault(c, []).append(len(stack))
+            stack.append(at)
     return pairs
 
 
@@ -148,15 +179,13 @@ def _outer(pairs: dict[int, int]) -> list[tuple[int, int]]:
 
 def _next_class(text: str, at: int) -> tuple[int, str]:
     """Kind of the first letter or digit from ``at`` on, past opening marks, and its word."""
-    n, k = len(text), at
-    while k < n and k < at + 12 and (text[k] in _OPENING or text[k] in _EDGE):
-        k += 1
-    if k >= n:
+    k = _UP_TO_WORD.match(text, at).end()
+    if k >= len(text):
         return _END, ""
     ch = text[k]
     m = _FIRST.match(text, k)
     word = m[0] if m else ch
-    if chr(0x10D0) <= ch <= chr(0x10FF):
+    if "\u10d0" <= ch <= "\u10ff":
         return _PLAIN, word  # Georgian writes without case, though its letters count as lower case
     if ch.isupper() or ch.istitle():
         return _UPPER, word
@@ -167,106 +196,51 @@ def _next_class(text: str, at: int) -> tuple[int, str]:
     return _PLAIN, word
 
 
-def _length_score(words: int, chars: int) -> float:
-    """Within [-LENGTH_RANGE, 0]: one- and two-word fragments and very long spans are unlikely sentences.
-
-    From ``LONG`` characters on the score no longer depends on the span.
-    """
-    if chars > LONG:
-        return -1.0
-    if words <= 1:
-        return -LENGTH_RANGE
-    if words == 2:
-        return -1.0
-    return -min(1.0, max(0, chars - 500) / 1500)
-
-
-class Segmenter:
-    """Sentence spans of one text."""
-
-    def __call__(self, text: str | None) -> list[tuple[int, int]]:
-        if not text:
-            return []
-        begin = _GAP.match(text).end()
-        end = len(text)
-        while end > begin and text[end - 1] in _EDGE:
-            end -= 1
-        if begin >= end:
-            return []
-        cuts = self._cuts(text, begin, end)
-        out, at = [], begin
-        for stop, start in cuts:
-            if stop > at:
-                out.append((at, stop))
-            at = max(at, start)
-        if end > at:
-            out.append((at, end))
-        return out
-
-    def _cuts(self, text: str, begin: int, end: int) -> list[tuple[int, int]]:
-        """Chosen boundaries (end of a sentence, start of the next)."""
-        chosen: list[tuple[int, int]] = []
-        open_ones: list[tuple[int, int, float]] = []
-        last = begin
-        for stop, start, evidence in self._candidates(text, begin, end):
-            if evidence >= 2 * LENGTH_RANGE:
-                if open_ones:
-                    chosen += self._best(text, last, stop, open_ones)
-                    open_ones = []
-                chosen.append((stop, start))
-                last = start
-            elif evidence > -LENGTH_RANGE:
-                open_ones.append((stop, start, evidence))
-        if open_ones:
-            chosen += self._best(text, last, end, open_ones)
-        return chosen
-
-    def _best(self, text: str, begin: int, end: int, options: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-        """Dynamic programming over the spans between two settled boundaries."""
-        starts = [begin, *(o[1] for o in options)]
-        stops = [*(o[0] for o in options), end]
-        gains = [*(o[2] for o in options), 0.0]
-        words = [0]
-        for k in range(len(options)):
-            words.append(words[-1] + text.count(" ", starts[k], starts[k + 1]))
-        total = words[-1] + text.count(" ", starts[-1], end)
-        best, back = [0.0], [0]
-        near, far, far_by = 0, float("-inf"), 0  # spans from starts before ``near`` are long ones: only the best counts
-        for j in range(len(stops)):
-            upto = words[j + 1] - 1 if j < len(options) else total
-            while near < j and stops[j] - starts[near] > LONG:
-                if best[near] >= far:
-                    far, far_by = best[near], near
-                near += 1
-            top, by = far - 1.0, far_by
-            for i in range(j, near - 1, -1):
-                value = best[i] + _length_score(upto - words[i] + 1, stops[j] - starts[i])
-                if value > top:
-                    top, by = value, i
-            best.append(top + gains[j])
-            back.append(by)
-        out, j = [], len(stops)
-        while j > 0:
-            i = back[j]
-            if i > 0:
-                out.append((options[i - 1][0], options[i - 1][1]))
-            j = i
-        return out[::-1]
-
-    def _candidates(self, text: str, begin: int, end: int) -> Iterator[tuple[int, int, float]]:
-        """(stop, start, evidence) in order; what lies within a quotation is left out."""
+class Candidates:
+    """Boundaries at which a span may end and the next one start, with the features of their scores."""
+
+    def __init__(self, text: str, begin: int, end: int) -> None:
+        self.text, self.begin, self.end = text, begin, end
+        self.stops: list[int] = []
+        self.starts: list[int] = [begin]
+        self.closing: list[float] = []
+        self.opening: list[float] = [0.0]
+        #: Opening mark that the closed span should begin with, or -1.
+        self.alone: list[int] = []
+        #: A line that only a list item ends with.
+        self.wrapped: list[bool] = []
+        #: A period after a number.
+        self.numbered: list[bool] = []
+        self.dandas = "\u0964" in text or "\u0965" in text
+        self.width = max(map(len, text.split("\n"))) if "\n" in text else 0
+        self._find()
+
+    def bullet(self, k: int) -> bool:
+        """Does the span that starts at candidate ``k`` open with a list bullet?"""
+        return _BULLET.match(self.text, self.starts[k]) is not None
+
+    def add(self, stop: int, start: int, closing: float, opening: float, alone: int = -1, wrapped: bool = False, numbered: bool = False) -> None:
+        self.stops.append(stop)
+        self.starts.append(start)
+        self.closing.append(closing)
+        self.opening.append(opening)
+        self.alone.append(alone)
+        self.wrapped.append(wrapped)
+        self.numbered.append(numbered)
+
+    def _find(self) -> None:
+        text, begin, end = self.text, self.begin, self.end
         pairs = pair_quotes(text)
         outer = _outer(pairs)
-        lines = _Lines(text)
         inside, n_outer, last = 0, len(outer), begin
         for m in _CANDIDATE.finditer(text, begin, end):
             at = m.start()
             if at < last:
                 continue
             ch = text[at]
-            if ch in _HARD or ch in _SOFT:
-                mark, stop = m[0], m.end()
-                closed = -1
+            closed = -1
+            if mark := ch in _HARD or ch in _SOFT:
+                stop = m.end()
                 while stop < end:  # what closes after the mark belongs to it
                     if stop in pairs:
                         closed, stop = pairs[stop], stop + 1
@@ -276,188 +250,224 @@ class Segmenter:
                         stop += 1
                     else:
                         break
-                while inside < n_outer and outer[inside][1] < stop:
-                    inside += 1
-                if inside < n_outer and outer[inside][0] < stop:
-                    continue  # unbalanced on both sides
                 start = _GAP.match(text, stop).end()
-                evidence = 10.0 if start >= end else self._mark(text, begin, at, mark, stop, start, closed, lines)
-                if evidence is not None:
-                    last = start
-                    if evidence < 4 and "\n" in text[stop:start] and start < end and lines.breaks(stop, start):
-                        evidence = 10.0
-                    yield stop, start, evidence
+                if start >= end:
+                    break
+                features = self._mark(at, m[0], stop, start, closed)
+                if features is None:
+                    continue
+                last = start
+                if "\n" in text[stop:start]:
+                    by_line = self._line(stop, start)
+                    if by_line[0] + by_line[1] + (WRAPPED if by_line[-1] is True else 0.0) > features[0] + features[1]:
+                        features = by_line
             else:
-                while inside < n_outer and outer[inside][1] < at:
-                    inside += 1
-                if inside < n_outer and outer[inside][0] < at:
+                stop, start = at, m.end()
+                if "\n" in m[0]:
+                    while stop > last and text[stop - 1] in _EDGE:  # a byte order mark before the break
+                        stop -= 1
+                    features = self._line(stop, start)
+                else:
+                    features = WIDE_SPACE, 0.0
+                if start >= end or stop <= begin:
                     continue
-                if ch == " " or ch == "\xa0":
-                    if "\n" not in m[0]:
-                        yield at, m.end(), 8.0
-                        continue
-                while at > last and text[at - 1] in _EDGE:  # a byte order mark before the break
-                    at -= 1
-                evidence = self._line(text, at, m.end(), lines)
-                if evidence is not None:
-                    yield at, m.end(), evidence
-
-    def _line(self, text: str, stop: int, start: int, lines: _Lines) -> float | None:
-        """Evidence for a boundary at a line break after no final mark."""
-        before = text[stop - 1]
-        if chr(0xE00) <= before <= chr(0xEFF):
-            return 8.0
-        return 10.0 if lines.breaks(stop, start) else None
-
-    def _mark(self, text: str, begin: int, at: int, mark: str, stop: int, start: int, closed: int, lines: _Lines) -> float | None:
-        """Evidence for a boundary after a sentence mark, or None."""
+            while inside < n_outer and outer[inside][1] < stop:
+                inside += 1
+            if inside < n_outer and outer[inside][0] < stop:
+                features = features[0] + UNBALANCED, features[1] + UNBALANCED, *features[2:]
+            self.add(stop, start, *features)
+
+    def _line(self, stop: int, start: int) -> tuple:
+        """Features of a line break without a final mark before it."""
+        text = self.text
+        if text.count("\n", stop, start) > 1:
+            return BLANK_LINE, 0.0
+        if "\u0e00" <= text[stop - 1] <= "\u0eff":
+            return WIDE_SPACE, 0.0
+        if _BULLET.match(text, start):
+            return 0.0, BULLET
+        line = text[text.rfind("\n", 0, stop) + 1 : stop].strip(_EDGE)
+        m = _NEXT_WORD.match(text, start)
+        fits = len(line) + 1 + (len(m[0]) if m else 0) <= max(self.width, 45)
+        heading = fits and len(line) < 60 and line[-1:] not in ",:;،、，："
+        return SHORT_LINE, GOES_ON_SMALL if text[start].islower() else 0.0, -1, not heading
+
+    def _mark(self, at: int, mark: str, stop: int, start: int, closed: int) -> tuple | None:
+        """Features of a sentence mark, or None for a mark within a word or number and for marks of other kinds."""
+        text, begin = self.text, self.begin
         before = text[at - 1] if at > begin else " "
-        touching = start == stop
-        follower = text[stop]
         kind, word = _next_class(text, start)
         hard = any(c in _HARD for c in mark)
         if closed >= 0:
-            return self._after_quote(text, begin, closed, start, kind, hard)
+            return self._after_quote(closed, start, kind)
+        touching = start == stop
+        follower = text[stop]
         if "．" in mark:
             if before.isdigit() and follower.isdigit():
                 return None
             hard = hard or not (before.isascii() or kind in (_UPPER, _LOWER))
         if hard:
-            return 8.0
-        if mark[0] in ";" + chr(0x37E):
+            return HARD, 0.0
+        opening = CAPITAL if kind == _UPPER else SMALL if kind == _LOWER else 0.0
+        if mark[0] in _GREEK_QUESTION:
             k = at - 1
             while k > begin and text[k] in _EDGE:
                 k -= 1
-            if not (chr(0x370) <= text[k] <= chr(0x3FF) or chr(0x1F00) <= text[k] <= chr(0x1FFF)) or mark.strip(";" + chr(0x37E)):
+            if not ("\u0370" <= text[k] <= "\u03ff" or "\u1f00" <= text[k] <= "\u1fff") or mark.strip(_GREEK_QUESTION) or touching and kind == _LOWER:
                 return None
-            return None if touching and kind == _LOWER else 6.0 if kind != _LOWER else 3.0
-        plain = mark.rstrip("!?")
-        ellipsis = "…" in mark or "‥" in mark or ".." in mark
-        strong = "!" in mark or "?" in mark
+            return MARK, opening
+        if mark[0] == ":":  # also written for the Armenian full stop
+            return (COLON, opening) if mark == ":" and before in _ARMENIAN and not touching else None
         if touching:
-            if kind == _LOWER or kind == _DIGIT or not (follower.isalpha() or follower in _OPENING):
+            if kind == _LOWER or kind == _DIGIT or not (follower.isalpha() or follower in _OPENING_SET):
                 return None
-            if follower in "-–—'*·•" or (plain == "." and not strong and follower == "."):
+            if follower in "-–—'*·•":
                 return None
-        word_back = _WORD_BACK.search(text, max(begin, at - 24), at) if not before.isspace() else None
-        if word_back is None and before.isspace():
-            k = at - 1
-            while k > begin and text[k] in _EDGE:
-                k -= 1
-            word_back = _WORD_BACK.search(text, max(begin, k - 24), k + 1)
-        own = word_back[0] if word_back else ""
+        if kind in (_UPPER, _LOWER) and word.lower() in OPENERS:
+            opening += OPENER
+        stem = at
+        while stem > begin and text[stem - 1] in _EDGE:
+            stem -= 1
+        own_at = stem
+        while own_at > begin and ((c := text[own_at - 1]).isalnum() or c in _IN_WORD):
+            own_at -= 1
+        own = text[own_at:stem]
         low = own.lower()
+        closing = CUT_SHORT if low in NO_CLOSERS else 0.0
         if mark == ".":
-            evidence = self._period(text, begin, at, own, low, kind, word, touching, word_back.start() if word_back else at, lines)
-            if evidence is not None:
-                return evidence
-        opener = word.lower() in OPENERS
-        cut_short = low in NO_CLOSERS
-        if ellipsis and not strong:
-            if kind == _LOWER or kind == _DIGIT:
-                return None
-            if kind == _PLAIN:
-                return -1.0
-            if kind == _UPPER:
-                return (4.0 if opener else 1.5) - (5.0 if cut_short else 0.0)
-            return 2.0
-        if kind == _LOWER:
-            return (4.0 if opener else 3.0) - (3.0 if cut_short else 0.0)
-        return 6.0
-
-    def _period(self, text, begin, at, own, low, kind, word, touching, own_at, lines) -> float | None:
-        """Evidence after a single period where the word before it decides, else None."""
+            spaced = stem < at
+            return MARK + closing + (self._word("" if spaced else own, low, own_at, kind, word, touching, spaced)), opening, -1, False, own.isdigit()
+        if ("…" in mark or "‥" in mark or ".." in mark) and "!" not in mark and "?" not in mark:
+            return ELLIPSIS + closing, opening
+        return MARK + closing, opening
+
+    def _word(self, own: str, low: str, own_at: int, kind: int, word: str, touching: bool, spaced: bool) -> float:
+        """What the word before a single period says about closing there."""
+        text, begin = self.text, self.begin
         if not own:
-            return -10.0 if at == begin or text[at - 1] in _EDGE and kind == _LOWER else None
+            return ABBREVIATED if own_at == begin or spaced and kind == _LOWER else 0.0
         if own.isdigit():
-            if lines.starts_line(own_at) and len(own) <= 3 and _NUMBERED.match(text, lines.line_start(own_at), at):
-                return -10.0  # the number of a list item
-            if kind == _LOWER or word.lower() in AFTER_ORDINALS:
-                return -10.0
-            return None
+            return ABBREVIATED if kind == _LOWER or word.lower() in AFTER_ORDINALS else 0.0
         dotted = own_at > begin and text[own_at - 1] in ".·"
-        if dotted and _ROMAN.match(own):
-            return -10.0  # a dotted numeral
         if low in CLOSING_ABBREVIATIONS:
-            return 5.0 if kind in (_UPPER, _END) else -10.0
-        if low in BEFORE_NUMBERS and kind == _DIGIT:
-            return -10.0
-        if low in ABBREVIATIONS:
-            return -10.0
-        if len(own) == 1 and own.isalpha() and (own.isupper() or own.islower()):
-            return -10.0  # an initial or a one-letter abbreviation
-        if _ROMAN.match(own) and own.isupper():
-            return -10.0 if kind == _LOWER else None
-        if chr(0x900) <= own[-1] <= chr(0xDFF):
-            if lines.dandas or low in INDIC_ABBREVIATIONS or len(own) == 1:
-                return -10.0  # a text that closes with a danda, an abbreviation or an initial
+            return MAY_CLOSE
+        if low in BEFORE_NUMBERS and kind == _DIGIT or low in ABBREVIATIONS:
+            return ABBREVIATED
+        if dotted and (_ROMAN.match(own) or len(own) <= 2) or touching and kind == _UPPER and len(own) <= 2:
+            return ABBREVIATED  # a dotted numeral or a dotted abbreviation
+        if len(own) == 1 and (own.isupper() or own.islower()):
+            return ABBREVIATED  # an initial or a one-letter abbreviation
+        if kind == _LOWER and (_ROMAN.match(own) and own.isupper() or own[:-1].isdigit()):
+            return ABBREVIATED  # an ordinal or a leaf number such as 83v
+        if "\u0900" <= own[-1] <= "\u0dff":
+            if self.dandas or low in INDIC_ABBREVIATIONS or len(own) == 1:
+                return ABBREVIATED  # a text that closes with a danda, an abbreviation or an initial
             k = own_at - 1
             while k >= begin and text[k] in _EDGE:
                 k -= 1
             if sum(c.isalpha() for c in own) == 1 and (k < begin or text[k] in _MARKS_SET):
-                return -10.0  # an initial with its vowel sign, before which nothing of a sentence stands
-        if touching and kind == _UPPER and len(own) <= 2:
-            return -10.0
-        if dotted and len(own) <= 2:
-            return -10.0
-        if len(own) > 1 and own[:-1].isdigit():  # a leaf number such as 83v
-            return -10.0 if kind == _LOWER else None
-        return None
-
-    def _after_quote(self, text: str, begin: int, opening: int, start: int, kind: int, hard: bool) -> float | None:
-        """Evidence after a quotation or bracket that holds a final mark at its end."""
+                return ABBREVIATED  # an initial with its vowel sign, before which nothing of a sentence stands
+        return 0.0
+
+    def _after_quote(self, opening: int, start: int, kind: int) -> tuple:
+        """Features after a quotation or bracket that holds a final mark at its end."""
+        text, begin = self.text, self.begin
+        if text[opening] in _BRACKETS:
+            return QUOTED, GOES_ON_SMALL if kind == _LOWER else 0.0, opening
+        if kind == _LOWER or text.startswith(GOES_ON, start):
+            return QUOTED, GOES_ON_SMALL
         k = opening - 1
         while k >= begin and text[k] in _EDGE:
             k -= 1
-        before = text[k] if k >= begin else ""
-        alone = not before or before in _MARKS_SET or before in _CLOSERS or before in _SELF or "\n" in text[k + 1 : opening] and "\n\n" in text[k + 1 : opening]
-        if text[opening] in _BRACKETS:
-            return None if not alone or kind == _LOWER else 6.0
-        if kind == _LOWER:
-            return None
-        if text.startswith(GOES_ON, start):
-            return None
-        if kind == _PLAIN and not alone and before not in ":：,،、，":
-            return None  # a quoted word within a sentence
-        return 6.0
-
-
-_MARKS_SET = frozenset("".join(_HARD) + ".!?…‥．")
-
-
-class _Lines:
-    """Line structure of a text: which line breaks end a heading or list line."""
-
-    def __init__(self, text: str) -> None:
-        self.text = text
-        self.dandas = "\u0964" in text or "\u0965" in text
-        self.width = max((len(x) for x in text.split("\n")), default=0) if "\n" in text else 0
-
-    def line_start(self, at: int) -> int:
-        return self.text.rfind("\n", 0, at) + 1
-
-    def starts_line(self, at: int) -> bool:
-        return not self.text[self.line_start(at) : at].strip(_EDGE + "(")
-
-    def breaks(self, stop: int, start: int) -> bool:
-        """Does the line break between ``stop`` and ``start`` part two units, though no mark stands before it?"""
-        text = self.text
-        if text.count("\n", stop, start) > 1:
-            return True
-        if _BULLET.match(text, start):
-            return True
-        line = text[self.line_start(stop) : stop].strip(_EDGE)
-        follower = text[start : start + 1]
-        m = _NEXT_WORD.match(text, start)
-        fits = len(line) + 1 + (len(m[0]) if m else 0) <= max(self.width, 45)
-        if follower.islower():
-            return False
-        if _BULLET.match(line + " ") or (_BULLET.match(line) and len(line) < 60):
-            return True
-        return fits and len(line) < 60 and line[-1:] not in ",:;،、，："
-
-
-segment = Segmenter()
+        introduced = k >= begin and text[k] in ":：,،、，"
+        return QUOTED, 0.0, -1 if introduced or kind != _PLAIN else opening
+
+
+def joint_score(c: Candidates, i: int, j: int) -> float:
+    """What the span from candidate ``i`` to the end at candidate ``j`` costs as a whole; never positive."""
+    text, start, stop = c.text, c.starts[i], c.stops[j] if j < len(c.stops) else c.end
+    size = stop - start
+    score = 0.0
+    if size < FEW_WORDS:
+        spaces = text.count(" ", start, stop)
+        score = ONE_WORD if not spaces else TWO_WORDS if spaces == 1 else 0.0
+    elif size > FREE_LENGTH:
+        score = (FREE_LENGTH - size) / LENGTH_STEP
+    if j < len(c.stops):
+        if c.numbered[j] and not any(map(str.isalpha, text[start:stop])):
+            score += BARE_NUMBER
+        if c.wrapped[j] and not c.bullet(i):
+            score += WRAPPED
+        if (opening := c.alone[j]) > start and text[start:opening].strip(_OPENING + _EDGE + "0123456789"):
+            score += NOT_ALONE
+    return score
+
+
+def joint_gains(c: Candidates) -> list[float]:
+    """For each start, how much a joint term may favour it over an earlier start for the same end; 0 for most."""
+    gains = [0.0] * len(c.starts)
+    lines, alone = any(c.wrapped), {p for p in c.alone if p >= 0}
+    if not lines and not alone:
+        return gains
+    for k, start in enumerate(c.starts):
+        if lines and c.bullet(k):
+            gains[k] -= WRAPPED
+        if alone:
+            upto = _UP_TO_LETTER.match(c.text, start).end()
+            if any(p in alone for p in range(start, upto + 1)):
+                gains[k] -= NOT_ALONE
+    return gains
+
+
+def best_spans(c: Candidates) -> list[tuple[int, int]]:
+    """The spans with the greatest total score."""
+    starts, n, gains = c.starts, len(c.stops), joint_gains(c)
+    active: list[int] = []  # starts that may still be the best for some end
+    totals: list[float] = []  # best total of all that ends before an active start, with its opening
+    reach: list[float] = []  # greatest total up to an active start
+    back, best, lead = [], 0.0, float("-inf")
+    for j in range(n + 1):
+        total, at = best + c.opening[j], starts[j] / LENGTH_STEP
+        if total + gains[j] > lead - at or not active:
+            active.append(j)
+            totals.append(total)
+            reach.append(max(total, reach[-1]) if reach else total)
+        # else an earlier start beats this one for every end, even by the cost of its greater length
+        lead = max(lead, total + at)
+        stop = c.stops[j] if j < n else c.end
+        k = len(active) - 1
+        by = active[k]
+        top = totals[k] + joint_score(c, by, j)
+        while k > 0:
+            k -= 1
+            i = active[k]
+            bound, size = reach[k], stop - starts[i]
+            if size > FREE_LENGTH:
+                bound -= (size - FREE_LENGTH) / LENGTH_STEP
+            if bound < top:
+                break
+            value = totals[k] + joint_score(c, i, j)
+            if value >= top:
+                top, by = value, i
+        back.append(by)
+        best = top + (c.closing[j] if j < n else 0.0)
+    spans, j = [], n
+    while True:
+        i = back[j]
+        spans.append((starts[i], c.stops[j] if j < n else c.end))
+        if not i:
+            return spans[::-1]
+        j = i - 1
+
+
+def segment(text: str | None) -> list[tuple[int, int]]:
+    """Sentence spans of one text."""
+    if not text:
+        return []
+    begin, end = _GAP.match(text).end(), len(text)
+    while end > begin and text[end - 1] in _EDGE:
+        end -= 1
+    return best_spans(Candidates(text, begin, end)) if begin < end else []
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

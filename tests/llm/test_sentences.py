@@ -1,10 +1,11 @@
 """Sentence boundaries: one case a line, sentences parted by a bar."""
 
 import random
+import time
 
 import pytest
 
-from charterloom.llm.sentences import _EDGE, pair_quotes, segment, sentences
+from charterloom.llm.sentences import _EDGE, Candidates, best_spans, joint_score, pair_quotes, segment, sentences
 
 CASES = [
     "Ego Petrus donavi.| Nos damus!| Quid est?",
@@ -32,6 +33,9 @@ CASES = [
     "Вов деб зуву… кымук.| Няс им. падыба в 1395 г. гат т. е. деб.| — Мяк «Тябы?» — дузыпы.",
     "Νάδην πάτηδυ π.χ. συμι;| Κυγα χάγ· σώγα.| Ναι.",
     "Քոտ՞ նոթա։| Տիմ շիձ։",
+    "Քոտ նոթա:| Տիմ շիձ: բեմ։",
+    "§ 5|\n(From the heir she owns a rent.)| If the garden is his.",
+    "Vici. 73 (De donatio confirmavimus.)| (Fontus sana est.)| Item dat.".replace("Vici.", "Vici.|"),
     "बोज जन ।|डनहर डॉ. बेच 18.2 सेहोल?| के डुह॥",
     "שלח «צלח!» לחצ עמ׳ 12 כן.| מתן.",
     "كيور «هيبن!» كلمر 25.6 هنق؟| سنل.",
@@ -65,6 +69,55 @@ def test_indic_scripts_that_close_with_a_period(case):
     assert [text[a:b] for a, b in segment(text)] == [p.strip(_EDGE) for p in case.split("|")]
 
 
+def every_segmentation(c):
+    """Scores of all choices of boundaries, by brute force."""
+    n, best = len(c.stops), None
+    for choice in range(1 << n):
+        cuts = [k for k in range(n) if choice >> k & 1]
+        total, first = 0.0, 0
+        for k in [*cuts, n]:
+            total += joint_score(c, first, k) + (c.closing[k] + c.opening[k + 1] if k < n else 0.0)
+            first = k + 1
+        if best is None or total > best[0] + 1e-9 or abs(total - best[0]) < 1e-9 and len(cuts) < best[1]:
+            best = total, len(cuts)
+    return best
+
+
+def test_no_segmentation_scores_more():
+    r = random.Random(3)
+    pool = ["Wort ", "wort ", "St. ", "3. ", ". ", "! ", ".\n", "Anna\n", "- ", '"Ja. ', '"', "« ", "! »", "(", ".) ", "。", "「", "」", "… ", "wort " * 90]
+    for _ in range(400):
+        text = "Wort " + "".join(r.choice(pool) for _ in range(r.randint(0, 14))) + "ende"
+        c = Candidates(text, 0, len(text))
+        if len(c.stops) > 10:
+            continue
+        spans = best_spans(c)
+        ends = [c.stops.index(b) for _, b in spans[:-1]]
+        total, first = 0.0, 0
+        for k in [*ends, len(c.stops)]:
+            total += joint_score(c, first, k) + (c.closing[k] + c.opening[k + 1] if k < len(c.stops) else 0.0)
+            first = k + 1
+        assert abs(total - every_segmentation(c)[0]) < 1e-9
+
+
+def test_whole_spans_decide():
+    """What the signs of single boundaries would cut, the score of the spans keeps together, or the other way round."""
+    for case in ("Omnes dant.|\\n9. Carl venit.", "- Anna bei Wien|\n- Berta kommt nach Graz zu uns allen auf der alten langen straße|\nVor Gott.", "The lord (cf. fol. 236v.) Redadedorf grants it.", "He said: “We buy. We sell!”| Then he left."):
+        text = case.replace("|", "")
+        c = Candidates(text, 0, len(text))
+        own = {b for _, b in segment(text)[:-1]}
+        signs = {c.stops[k] for k in range(len(c.stops)) if c.closing[k] + c.opening[k + 1] > 0}
+        assert [text[a:b] for a, b in segment(text)] == [p.strip() for p in case.split("|")]
+        assert own != signs or "“" in text
+
+
+def test_long_texts_of_any_kind_stay_fast():
+    for text in ("« " + "Terra venit apud montem. " * 2000 + "»", "(" * 5000 + ")" * 5000, ". " * 10_000, "a\n" * 10_000, "«" + '"A. ' * 3000 + "»", "- a\n" * 5000, "Terra venit. " * 5000):
+        start = time.perf_counter()
+        segment(text)
+        assert time.perf_counter() - start < 5
+
+
 def test_spans_are_ordered_and_cover_all_but_space():
     r = random.Random(8)
     pool = ["Wort ", "wort", ". ", "! ", "\n", "\n\n", '"', "«", "»", "(", ")", "'", "etc. ", "1272. ", "- ", "漢", "。", "ก ", "…", "St. ", " ", "﻿"]
