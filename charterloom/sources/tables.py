@@ -5,18 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from charterloom.plans.materialize import materialize
+
+#: A list of at most so many keys is broadcast (some tens of megabytes on an executor).
+BROADCAST_KEYS = 1_000_000
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Scan ``directory/name.parquet``; columns are pruned by the plans above it."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+def bounded(df: DataFrame, rows: int, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``df``, marked for broadcast if its counted ``rows`` of a few numbers are at most ``most``; else its joins shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def latest_rows(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     """One row per ``key``: the latest by ``at`` (null times first, then by value).
 
-    Repeated rows of a record are the same record.  The aggregation combines
-    before its shuffle, so a key that holds a third of all rows stays small.
+    Repeated rows of a record are the same record.  Keys that stand in more
+    than one row are found first, from the key column alone; only their rows
+    are shuffled with what they hold, combined before that, so a key that
+    holds a third of all rows stays small.  All other rows stay where they are.
     """
-    packed = F.struct(F.col(at).isNotNull().alias("_known"), F.col(at).alias("_at"), *[F.col(c) for c in columns])
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(packed).alias("_best"))
-    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns])
+    rows = df.where(F.col(key).isNotNull()).select(key, F.col(at).alias("_at"), *[F.col(c) for c in columns])
+    repeated = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    n = repeated.count()
+    if not n:
+        return rows.select(key, *columns)
+    repeated = bounded(repeated, n)
+    packed = F.struct(F.col("_at").isNotNull().alias("_known"), "_at", *[F.col(c) for c in columns])
+    best = rows.join(repeated, key, "left_semi").groupBy(key).agg(F.max(packed).alias("_best"))
+    once = rows.join(repeated, key, "left_anti").select(key, *columns)
+    return once.unionByName(best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns]))
