@@ -11,9 +11,15 @@ MOST_ELEMENTS = 1_000_000
 MOST_ROWS = 1024
 
 
+def binary_offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of a binary column start and end in its buffer."""
+    return np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+
+
 def by_elements(batch: pa.RecordBatch, column: int, most: int = MOST_ELEMENTS) -> Iterator[pa.RecordBatch]:
-    """Slices with at most ``most`` list elements in a column, or with one row."""
-    ends = batch.column(column).offsets.to_numpy()
+    """Slices with at most ``most`` list elements, or as many 8-byte codes of a binary column, or with one row."""
+    lists = batch.column(column)
+    ends = binary_offsets(lists) // 8 if pa.types.is_binary(lists.type) else lists.offsets.to_numpy()
     at = 0
     while at < batch.num_rows:
         stop = int(np.searchsorted(ends, ends[at] + most, side="right")) - 1

@@ -29,7 +29,16 @@ grp AS (SELECT *, sum(s) OVER (PARTITION BY rec ORDER BY p) AS g FROM mark),
 runs AS (SELECT rec // 2 AS doc_idx, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 20 - min(p) AS INTEGER) AS n_tokens FROM grp GROUP BY rec, g)
 """
 
+#: The greatest length 20 * 2^k of a window in each run that stands in another record too.
+_LEVELS = """, lv AS (SELECT rec, tokens, w FROM texts, (SELECT CAST(20 * pow(2, k) AS BIGINT) AS w FROM (SELECT unnest(range(16)) AS k)) WHERE len(tokens) >= w),
+lw AS (SELECT rec, w, p, list_slice(tokens, p + 1, p + w) AS win FROM (SELECT rec, w, tokens, unnest(range(len(tokens) - w + 1)) AS p FROM lv)),
+lok AS (SELECT rec, w, p, win FROM lw WHERE len(list_filter(win, lambda x: x IS NULL OR x = '')) = 0),
+lhit AS (SELECT rec, w, p FROM lok JOIN (SELECT win FROM lok GROUP BY win HAVING count(DISTINCT rec) > 1) USING (win) WHERE rec % 2 = 0)
+SELECT doc_idx, start_pos, n_tokens, CAST(max(w) AS INTEGER) AS repeated_len
+FROM runs JOIN lhit ON rec = 2 * doc_idx AND p BETWEEN start_pos AND start_pos + n_tokens - 1 GROUP BY ALL"""
+
 ORACLE: dict[str, str] = {
+    "p2_spans": _SPANS + _LEVELS,
     "p2_found": _SPANS + "SELECT doc_idx, start_pos, n_tokens FROM runs",
     "p2_share": _SPANS
     + """, per AS (SELECT doc_idx, CAST(sum(n_tokens) AS BIGINT) AS n_shared FROM runs GROUP BY 1)

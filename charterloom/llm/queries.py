@@ -20,7 +20,7 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = spans.shared_spans(table(spark, d, "tokenized_corpus"), table(spark, d, "formulary"), longest=False)
+    runs = spans.shared_spans(table(spark, d, "tokenized_corpus"), table(spark, d, "formulary"))
     return runs.select("doc_idx", "start_pos", "n_tokens")
 
 
@@ -30,7 +30,7 @@ def p2_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_share(spark: SparkSession, d: str) -> DataFrame:
     tokenized = table(spark, d, "tokenized_corpus")
-    return spans.shared_share(tokenized, spans.shared_spans(tokenized, table(spark, d, "formulary"), longest=False))
+    return spans.shared_share(tokenized, spans.shared_spans(tokenized, table(spark, d, "formulary")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -128,7 +128,7 @@ def test_spans_match_brute_force(spark, seed):
     got = spans.shared_spans(tokenized(spark, rows), second).collect()
     assert {(x["doc_idx"], x["start_pos"], x["n_tokens"]) for x in got} == expected and len(got) == len(expected)
     assert all(20 <= x["repeated_len"] <= x["n_tokens"] for x in got)
-    short = spans.shared_spans(tokenized(spark, rows), second, longest=False)
+    short = spans.shared_spans(tokenized(spark, rows), second)
     assert {tuple(x)[:3] for x in short.collect()} == expected
     shares = {x["doc_idx"]: (x["n_tokens"], x["n_shared"]) for x in spans.shared_share(tokenized(spark, rows), short).collect()}
     assert shares == {k: (len(t or []), sum(n for d, _, n in expected if d == k)) for k, t in own.items()}
