@@ -242,11 +242,32 @@ def test_fit_budget_is_near_and_bounded():
         assert size == best
 
 
+def best_sum(lengths, counts, budget):
+    bits, mask = 1, (1 << (budget + 1)) - 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c):
+            bits = (bits | bits << n) & mask
+    return bits.bit_length() - 1
+
+
+def test_fit_budget_of_long_documents_is_the_optimum():
+    r = random.Random(9)
+    for _ in range(25):
+        lengths = sorted(r.sample(range(8_500, 60_000), r.randint(1, 12)))
+        counts = [r.randint(1, 4) for _ in lengths]
+        budget = r.randint(0, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        size = sum(n * t for n, t in zip(lengths, mixing.fit_budget(lengths, counts, budget), strict=True))
+        assert size == best_sum(lengths, counts, budget)
+
+
 def test_fit_budget_beyond_the_window():
     lengths, counts = [3, 700, 90_000], [10, 500, 40]
     for budget in (5, 100_000, 1_234_567, 3_000_000):
         size = sum(n * t for n, t in zip(lengths, mixing.fit_budget(lengths, counts, budget), strict=True))
-        assert budget - 90_000 <= size <= budget
+        assert size == best_sum(lengths, counts, budget)
+    lengths, counts = list(range(1000, 20_000, 10)), [30] * 1900  # units of ten, half a billion tokens
+    size = sum(n * t for n, t in zip(lengths, mixing.fit_budget(lengths, counts, 300_000_007), strict=True))
+    assert size == 300_000_000
 
 
 def test_mixture(spark):
@@ -262,7 +283,7 @@ def test_mixture(spark):
     for k, s, *_ in rows:
         per[s] += size[k]
     sized = mixing.sized_documents(docs)
-    plan, report = mixing.plan_mixture(sized, targets)
+    plan, report = mixing.plan_mixture(sized, targets, total)
     used = mixing.draw(sized, plan).collect()
     report = {x["source"]: x for x in report.collect()}
     assert report.keys() == {"a", "b", "c", "d", "none", "zero"}
@@ -277,12 +298,24 @@ def test_mixture(spark):
         assert x["planned_tokens"] == reached[s] and x["source_tokens"] == per[s]
         assert x["reachable"] == (not per[s] * most[s] < share[s] * total)
         assert reached[s] == per[s] * most[s] if not x["reachable"] else share[s] * total - 3 <= reached[s] <= share[s] * total
-        assert abs(x["actual_share"] - reached[s] / sum(reached.values())) < 1e-9
+        assert abs(x["actual_share"] - reached[s] / sum(reached.values())) < 1e-9 and abs(x["shortfall_tokens"] - (share[s] * total - reached[s])) < 1e-6
     found = {x["source"] for x in mixing.unreachable(docs, targets).collect()}
     assert found == {s for s in most if per[s] * most[s] < share[s] * total}
     assert {tuple(x) for x in mixing.draw(sized, plan).collect()} == {tuple(x) for x in used}  # seeded
 
 
+def test_mixture_keeps_the_shares(spark):
+    r = random.Random(16)
+    lengths = [(s, r.randint(1, 300)) for s, n in (("a", 4000), ("b", 300), ("c", 900)) for _ in range(n)]
+    sized = spark.createDataFrame([(s, k, n) for k, (s, n) in enumerate(lengths)] + [("x", 9000, 50), (None, 9001, 9)], "source string, doc_id bigint, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    held = {s: sum(n for x, n in lengths if x == s) for s in "abc"}
+    total = min(held[s] * most / share for s, share, most in (("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2)))
+    for x in mixing.plan_mixture(sized, targets)[1].collect():
+        assert abs(x["budget_tokens"] - x["target_share"] * total) <= 1
+        assert abs(x["planned_tokens"] - x["target_share"] * total) <= 2 and abs(x["actual_share"] - x["target_share"]) < 1e-4 and x["shortfall_tokens"] < 2
+
+
 def test_mixture_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("a", 0.5, 2)], "source string, target_share double, max_repeats int")
