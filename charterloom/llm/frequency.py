@@ -46,16 +46,16 @@ def _batch_counts(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np
 
 
 def record_terms(rows: DataFrame) -> DataFrame:
-    """(doc_idx, token, tf, doc_len): the term counts of each record and its number of terms, taken where the record is."""
+    """(doc_idx, token, tf, doc_len, squares): the term counts of each record, their sum and the sum of their squares, taken where the record is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_elements(whole, 1)):
             terms, row, code, count = _batch_counts(batch.column(1))
-            length = np.bincount(row, weights=count, minlength=1).astype(np.int64)[row]
-            columns = [batch.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(count), pa.array(length)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_idx", "token", "tf", "doc_len"])
+            length, squares = (np.bincount(row, weights=w, minlength=1).astype(np.int64)[row] for w in (count, count * count))
+            columns = [batch.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(count), pa.array(length), pa.array(squares)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_idx", "token", "tf", "doc_len", "squares"])
 
-    return rows.where("tokens is not null").select(F.col("doc_idx").cast("bigint"), "tokens").mapInArrow(run, "doc_idx bigint, token string, tf bigint, doc_len bigint")
+    return rows.where("tokens is not null").select(F.col("doc_idx").cast("bigint"), "tokens").mapInArrow(run, "doc_idx bigint, token string, tf bigint, doc_len bigint, squares bigint")
 
 
 def collection_counts(rows: DataFrame) -> DataFrame:
