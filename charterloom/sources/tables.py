@@ -16,9 +16,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int, most: int = BROADCAST_KEYS) -> DataFrame:
-    """``df``, marked for broadcast if its counted ``rows`` of a few numbers are at most ``most``; else its joins shuffle."""
-    return F.broadcast(df) if rows <= most else df
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if its counted ``rows`` of a few numbers are at most ``BROADCAST_KEYS``; else its joins shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
 
 
 def latest_rows(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
