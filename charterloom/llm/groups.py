@@ -5,16 +5,20 @@
    as the frontier holds a share of all vertices.  A component that the search
    finishes is anti-joined away; one with thin tails is contracted to its
    smallest id, so that a chain of a thousand steps never costs a thousand
-   joins.
+   joins.  Its vertices get their group as a constant, without a join.
 2. The rest is labelled by minimum propagation: each round every vertex takes
    the minimum of its neighbourhood in a seeded order of that round, the graph
    is contracted to these labels, and the labels are composed at the end.  The
    random order makes the graph shrink by a constant factor in any shape, so
    long chains take a logarithmic number of rounds.
 
-All state is tables in the shared folder; the driver sees only counts and the
-one start vertex.  Neighbourhood minima combine before their shuffle, so a hub
-with a third of all links is one row per map task.
+All state is tables in the shared folder; the driver sees only counts, the
+start vertex and single ids.  Neighbourhood minima combine before their
+shuffle, so a hub with a third of all links is one row per map task.  Lookups
+of ids broadcast the looked-up table up to a counted size.  Beyond it the keys
+that fill more than one of ``HEAVY_PART`` rows, of which there are at most
+``HEAVY_PART``, are looked up by broadcast and only the others by shuffle, so
+a hub or a large group is never one task's work.
 
 Links with null ends, equal ends or a score that is null, not a number or
 below the threshold are none; repeated and reversed rows are one link.  No
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charterloom.plans.materialize import discard, materialize
+from charterloom.sources import tables
 
 THRESHOLD = 0.6
 FRONTIER_SHARE = 0.01
+HEAVY_PART = 10_000
 
 
 def links(dist_mat: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -43,11 +49,24 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``value`` from the written ``table`` (one row for each ``key``), null where it has none."""
+    size = table.count()
+    if size <= tables.BROADCAST_KEYS:
+        return rows.join(F.broadcast(table), key, "left")
+    rows = materialize(rows, "rows")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HEAVY_PART > rows.count()).select(key, F.lit(True).alias("_heavy"))
+    heavy = materialize(counts.join(table, key, "left").select(key, "_heavy", value), "heavy")
+    told = rows.join(F.broadcast(heavy), key, "left")
+    cold = told.where("_heavy is null").drop("_heavy", value).join(table, key, "left")
+    return told.where("_heavy").drop("_heavy").unionByName(cold)
+
+
 def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges between the labels of their ends; ends without a label keep themselves."""
     for end in ("a", "b"):
         own = labels.select(F.col("v").alias(end), F.col("label").alias("_label"))
-        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+        edges = _looked_up(edges, end, own, "_label").withColumn(end, F.coalesce("_label", end)).drop("_label")
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -58,16 +77,17 @@ def peel_giant(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -> tupl
     if not top["n"]:
         return None
     around = _both(edges)
-    found = edges.sparkSession.createDataFrame([(top["hub"],)], "v bigint")
-    frontier, n = found, 1
-    while n >= max(1, frontier_share * top["n"]) or frontier is found:
-        step = around.join(frontier.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct()
-        frontier = materialize(step.join(found, "v", "left_anti"), "frontier")
-        n = frontier.count()
-        found = found.unionByName(frontier)
-        if not n:
-            break
-    return found, found.agg(F.min("v")).first()[0], n == 0
+    found = frontier = edges.sparkSession.createDataFrame([(top["hub"],)], "v bigint")
+    n, every, least = 1, 1, top["hub"]
+    while n and (n >= frontier_share * top["n"] or every == 1):
+        # a frontier or a found set of a counted size is broadcast, so the links stay where they are
+        step = around.join(tables.bounded(frontier.select(F.col("v").alias("u")), n), "u", "left_semi").select("v")
+        frontier = materialize(step.join(tables.bounded(found, every), "v", "left_anti").distinct(), "frontier")
+        size = frontier.agg(F.count("*").alias("n"), F.min("v").alias("least")).first()
+        n, every = size["n"], every + size["n"]
+        if n:
+            found, least = found.unionByName(frontier), min(least, size["least"])
+    return found, least, n == 0
 
 
 def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -> DataFrame:
@@ -77,11 +97,11 @@ def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -
     if peeled is None:
         return edges.select(F.col("a").alias("doc_idx"), F.col("b").alias("group_id"))
     giant, least, whole = peeled
-    giant = materialize(giant.withColumn("label", F.lit(least)), "giant")
+    giant = materialize(giant, "giant")
     if whole:
-        rest = edges.join(giant.select(F.col("v").alias("a")), "a", "left_anti")
+        rest = edges.join(tables.bounded(giant.select(F.col("v").alias("a")), giant.count()), "a", "left_anti")
     else:
-        rest = _relabel(edges, giant)
+        rest = _relabel(edges, giant.withColumn("label", F.lit(least)))
     rest, maps, level = materialize(rest, "rest"), [], 0
     while not rest.isEmpty():
         order = lambda c, level=level: F.struct(F.xxhash64(F.lit(level), c).alias("p"), F.col(c).alias("v"))
@@ -91,29 +111,22 @@ def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -
         discard(rest)
         rest, level = smaller, level + 1
         maps.append(labels)
-    if maps:
-        roots = maps[-1]
-        for labels in reversed(maps[:-1]):
-            onward = roots.select(F.col("v").alias("label"), F.col("label").alias("root"))
-            roots = labels.join(onward, "label", "left").select("v", F.coalesce("root", "label").alias("label"))
-        roots = materialize(roots, "roots")
-        if not whole:
-            at = roots.where(F.col("v") == least).first()
-            giant = giant.where(F.col("v") != least).withColumn("label", F.lit(at["label"] if at else least))
-            if at is None:
-                giant = giant.unionByName(edges.sparkSession.createDataFrame([(least, least)], "v bigint, label bigint"))
-        roots = roots.unionByName(giant)
-    else:
-        roots = giant
-    names = roots.groupBy("label").agg(F.min("v").alias("group_id"))
-    return roots.join(names, "label").select(F.col("v").alias("doc_idx"), "group_id")
+    if not maps:
+        return giant.select(F.col("v").alias("doc_idx"), F.lit(least).alias("group_id"))
+    roots = maps[-1]
+    for labels in reversed(maps[:-1]):
+        onward = materialize(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "onward")
+        roots = _looked_up(labels, "label", onward, "root").select("v", F.coalesce("root", "label").alias("label"))
+    roots = materialize(roots, "roots")
+    names = materialize(roots.groupBy("label").agg(F.min("v").alias("group_id")), "names")
+    named = _looked_up(roots, "label", names, "group_id").select(F.col("v").alias("doc_idx"), "group_id")
+    if not whole:  # the vertex that stands for the giant component may have been joined with others
+        at = roots.where(F.col("v") == least).join(names, "label").first()
+        least = at["group_id"] if at else least
+        named = named.join(F.broadcast(roots.sparkSession.createDataFrame([(peeled[1],)], "doc_idx bigint")), "doc_idx", "left_anti")
+    return named.unionByName(giant.select(F.col("v").alias("doc_idx"), F.lit(least).cast("bigint").alias("group_id")))
 
 
 def match_groups(dist_mat: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_idx, group_id) of every record or item with at least one link."""
     return connected_groups(links(dist_mat, threshold))
-
-
-def group_sizes(groups: DataFrame) -> DataFrame:
-    """(group_id, n_members)."""
-    return groups.groupBy("group_id").agg(F.count("*").alias("n_members"))

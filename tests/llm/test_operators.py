@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from charterloom.llm import distinctive, frequency, groups, mixing, spans, tokenizer, visible
+from charterloom.sources import tables
 
 TOKENIZED = "doc_idx bigint, corpus int, tokens array<string>, tokenized_at timestamp, rec bigint, h string"
 
@@ -106,7 +107,10 @@ def brute_spans(own, reference, m=20):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_spans_match_brute_force(spark, seed):
+def test_spans_match_brute_force(spark, seed, monkeypatch):
+    if seed == 2:  # joins by shuffle, heavy windows apart
+        monkeypatch.setattr(tables, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(spans, "HEAVY_PART", 50)
     r = random.Random(seed)
     base = [f"t{r.randrange(60)}" for _ in range(600)]
     own = {}
@@ -164,8 +168,11 @@ def dist(spark, rows):
     return spark.createDataFrame(rows, "i bigint, j bigint, score float, scored_at timestamp, u bigint, v string")
 
 
-@pytest.mark.parametrize("share", [0.01, 2.0])
-def test_groups_match_union_find(spark, share):
+@pytest.mark.parametrize(("share", "broadcast"), [(0.01, True), (2.0, True), (0.01, False), (2.0, False)])
+def test_groups_match_union_find(spark, share, broadcast, monkeypatch):
+    if not broadcast:  # hubs and large groups by the way for tables of any size
+        monkeypatch.setattr(tables, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(groups, "HEAVY_PART", 20)
     r = random.Random(4)
     edges = [(r.randrange(400), 1000 + r.randrange(400)) for _ in range(260)]
     edges += [(5000 + k, 5001 + k) for k in range(300)]  # a long chain
@@ -180,8 +187,6 @@ def test_groups_match_union_find(spark, share):
 def test_groups_of_nothing_and_of_one(spark):
     assert groups.match_groups(dist(spark, [])).collect() == []
     assert {tuple(x) for x in groups.match_groups(dist(spark, [(7, 3, 0.6, None, 1, "x")])).collect()} == {(7, 3), (3, 3)}
-    sizes = groups.group_sizes(groups.match_groups(dist(spark, [(7, 3, 0.6, None, 1, "x")]))).collect()
-    assert [tuple(x) for x in sizes] == [(3, 2)]
 
 
 # problem 6
