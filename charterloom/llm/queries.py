@@ -19,6 +19,10 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return visible.normalize_visible(table(spark, d, "corpus"))
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return visible.look_same_members(table(spark, d, "corpus"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     runs = spans.shared_spans(table(spark, d, "tokenized_corpus"), table(spark, d, "formulary"))
     return runs.select("doc_idx", "start_pos", "n_tokens")
@@ -79,5 +83,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_spans, p2_share, p3_found, p3_scores, p4_found, p4_terms, p4_names, p5_found, p6_ids, p7_found, p7_shares, p7_mixture, p8_found)
+    own = (p1_found, p1_forms, p1_members, p2_found, p2_spans, p2_share, p3_found, p3_scores, p4_found, p4_terms, p4_names, p5_found, p6_ids, p7_found, p7_shares, p7_mixture, p8_found)
     return {f.__name__: f for f in own}

@@ -1,8 +1,12 @@
 """One form for text that looks the same (problem 1).
 
-A mapping from what is stored to what is seen is computed once, by rule from
-the Unicode database plus a short table of look-alike letters, checked for
-conflicts, and compiled into one pattern.  The pattern walks a text once over
+A mapping from what is stored to what is seen is computed once: by rule from
+the Unicode database, from the public confusables data that Spark ships with
+ICU for scripts whose letters are drawn like Latin ones (Cherokee, Lisu, Coptic
+and others), and from a short table of the look-alikes of Greek, Cyrillic,
+Armenian and Latin, where the public data also holds letters that a reader can
+tell apart (such as Greek alpha).  It is checked for conflicts and compiled
+into one pattern.  The pattern walks a text once over
 grapheme clusters and takes the longest match: a run of white space and
 invisible characters, a base letter with everything that combines with it, or
 a single mapped character.  Ordinary characters are never touched, so plain
@@ -28,12 +32,14 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charterloom.llm.batches import by_rows
 from charterloom.plans.materialize import materialize
 
+BLOCK_ROWS = 1000
+
 #: Letters and marks that look like the character before the colon.
 LOOK_ALIKES = """
 A:ΑА B:ΒВ C:СϹ E:ΕЕ F:Ϝ G:Ԍ H:ΗН I:ΙІӀ J:ЈͿ K:ΚК M:ΜМ N:Ν O:ΟОՕ P:ΡР Q:Ԛ S:ЅՏ T:ΤТ U:Ս V:Ѵ W:Ԝ X:ΧХ Y:ΥҮ Z:Ζ
@@ -57,6 +63,10 @@ _IDEOGRAPHS = range(0x2F800, 0x2FA20)  # compatibility ideographs
 _HALF_MARKS = chr(0xFF9E) + chr(0xFF9F)
 
 
+#: Scripts whose letters are drawn like Latin ones, by the first word of their character names.
+LATIN_SHAPED = frozenset("CARIAN CHEROKEE COPTIC DESERET ELBASAN LISU LYCIAN OLD OSAGE WARANG".split())
+
+
 class Conflict(ValueError):
     """Two rules of the mapping contradict each other."""
 
@@ -74,6 +84,22 @@ def look_alikes() -> dict[str, str]:
     return out
 
 
+def confusable_letters(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """(letter, Latin letter that it is drawn like) of the ``LATIN_SHAPED`` scripts, from the confusables data of the JVM's ICU.
+
+    That data has one sign for capital I and small l; letters that are no small ones are drawn like I.
+    """
+    letters = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x20000))) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.name(c, "").split(" ")[0] in LATIN_SHAPED]
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    out = []
+    for ch, shown in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True):
+        small = unicodedata.category(ch) == "Ll"
+        shown = "I" if shown == "l" and not small else shown
+        if len(shown) == 1 and shown.isascii() and shown.isalpha() and (shown.islower() or not small):
+            out.append((ch, shown))
+    return tuple(out)
+
+
 def _by_rule(ch: str) -> str | None:
     """What a compatibility character shows, if it is only another width, joining or spacing."""
     kind, *codes = unicodedata.decomposition(ch).split() or [""]
@@ -86,15 +112,19 @@ def _by_rule(ch: str) -> str | None:
     return shown if kind in _SHAPELESS or joined or dots else None
 
 
-def build_mapping() -> dict[str, str]:
-    """Single character to the string shown for it, closed under itself.
+def build_mapping(confusable: tuple[tuple[str, str], ...] = ()) -> dict[str, str]:
+    """Single character to the string shown for it, closed under itself; ``confusable`` adds pairs to the table.
 
     Every target is a fixed point of the mapping and of canonical composition,
     else :class:`Conflict` is raised; so the form is the same however often it
     is taken.
     """
     raw = {chr(c): s for c in (*range(0x80, 0xD800), *range(0xF900, 0x20000), *_IDEOGRAPHS) if (s := _by_rule(chr(c))) is not None}
-    for source, target in look_alikes().items():
+    alike = look_alikes()
+    for source, target in confusable:
+        if alike.setdefault(source, target) != target:
+            raise Conflict(f"{source!r} looks like both {alike[source]!r} and {target!r}")
+    for source, target in alike.items():
         if raw.get(source, target) != target and len(raw[source]) > 1:
             raise Conflict(f"{source!r} is both {raw[source]!r} and {target!r}")
         raw[source] = target
@@ -144,13 +174,14 @@ def second_parts(characters: list[str]) -> set[str]:
 class VisibleForm:
     """The compiled transducer."""
 
-    def __init__(self) -> None:
-        self.mapping = build_mapping()
+    def __init__(self, confusable: tuple[tuple[str, str], ...] = ()) -> None:
+        self.mapping = build_mapping(confusable)
         every = [chr(c) for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200))]
         hidden = {c for c in every if unicodedata.category(c) == "Cf" and c not in _DRAWN} | set(_BLANK)
         hidden |= {chr(c) for c in (*range(0x00, 0x09), *range(0x0E, 0x1C), 0x7F)}
         hidden -= set(_WHITE)
-        marks = {c for c in every if unicodedata.combining(c) or c in _HALF_MARKS}
+        # marks, and what is made of marks only, as U+0F73
+        marks = {c for c in every if unicodedata.combining(unicodedata.normalize("NFD", c)[0]) or c in _HALF_MARKS}
         marks = (marks | second_parts(every)) - hidden
         self.white, self.hidden = frozenset(_WHITE), frozenset(hidden)
         w, h, m, x = (_char_class(s) for s in (_WHITE, hidden, marks, set(self.mapping) - marks))
@@ -194,16 +225,17 @@ def _char_class(chars) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1)
-def visible_form() -> VisibleForm:
-    return VisibleForm()
+@lru_cache(maxsize=2)
+def visible_form(confusable: tuple[tuple[str, str], ...] = ()) -> VisibleForm:
+    return VisibleForm(confusable)
 
 
 def normalize_visible(df: DataFrame, key: str = "doc_idx", text: str = "text") -> DataFrame:
     """(key, text): every text in its visible form.  A map over the scan; nothing is shuffled."""
+    confusable = confusable_letters(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = visible_form()
+        form = visible_form(confusable)
         for batch in (part for whole in batches for part in by_rows(whole)):
             shown = pa.array([form(t) for t in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), shown], names=[key, "text"])
@@ -214,9 +246,10 @@ def normalize_visible(df: DataFrame, key: str = "doc_idx", text: str = "text") -
 
 def form_keys(df: DataFrame, key: str, text: str, at: str) -> DataFrame:
     """(key, at, form, stored): 128-bit keys of the visible form and of the stored text; texts that show nothing are left out."""
+    confusable = confusable_letters(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form, digest = visible_form(), xxhash.xxh3_128_digest
+        form, digest = visible_form(confusable), xxhash.xxh3_128_digest
         for batch in (part for whole in batches for part in by_rows(whole)):
             keep, forms, stored = [], [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
@@ -245,13 +278,30 @@ def look_same_groups(df: DataFrame, key: str = "doc_idx", text: str = "text", at
     return rows.join(mixed, "form", "left_semi").select(F.col("key").alias(key), "form", "stored")
 
 
+def look_same_members(df: DataFrame) -> DataFrame:
+    """(doc_idx, class_id, group_id) of the records that look like a differently stored one.
+
+    ``class_id`` is the smallest record stored alike, ``group_id`` the smallest
+    one that looks the same, so (class_id, group_id) are the pairs of
+    representatives.  Linear in the records, however many look the same.
+    """
+    rows = look_same_groups(df)
+    classes = rows.groupBy("form", "stored").agg(F.min("doc_idx").alias("class_id"))
+    firsts = classes.groupBy("form").agg(F.min("class_id").alias("group_id"))
+    return rows.join(classes.join(firsts, "form"), ["form", "stored"]).select("doc_idx", "class_id", "group_id")
+
+
 def look_same_pairs(df: DataFrame) -> DataFrame:
     """(doc_idx_a, doc_idx_b), a < b: records that look the same though stored differently.
 
     The pairs of a form are those between different classes of stored texts;
-    pairs of exact copies are never made.
+    pairs of exact copies are never made.  The records of a form are split
+    into blocks of about ``BLOCK_ROWS``, each joined apart, so a form of a
+    third of all records is many tasks' work.
     """
-    rows = look_same_groups(df)
-    a = rows.select("form", F.col("doc_idx").alias("doc_idx_a"), F.col("stored").alias("sa"))
-    b = rows.select("form", F.col("doc_idx").alias("doc_idx_b"), F.col("stored").alias("sb"))
-    return a.join(b, "form").where("sa <> sb and doc_idx_a < doc_idx_b").select("doc_idx_a", "doc_idx_b")
+    rows = materialize(look_same_groups(df), "alike")
+    blocks = rows.groupBy("form").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "form")
+    a = rows.select("form", F.pmod(F.xxhash64("doc_idx"), "blocks").cast("int").alias("block"), F.col("doc_idx").alias("doc_idx_a"), F.col("stored").alias("sa"))
+    b = rows.select("form", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_idx").alias("doc_idx_b"), F.col("stored").alias("sb"))
+    return a.join(b, ["form", "block"]).where("sa <> sb and doc_idx_a < doc_idx_b").select("doc_idx_a", "doc_idx_b")

@@ -365,6 +365,27 @@ def test_form_is_stable_on_random_text():
         assert form(once) == once, ascii(text)
 
 
+def test_form_is_stable_on_all_scripts(spark):
+    r, form = random.Random(11), visible.visible_form(visible.confusable_letters(spark))
+    every = [c for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20))) if unicodedata.category(c) != "Cn"]
+    marks = [c for c in every if unicodedata.category(c) in ("Mn", "Mc")]
+    composed = [c for c in every if unicodedata.decomposition(c)]
+    for _ in range(20_000):
+        text = "".join(r.choice(r.choice((every, marks, composed, marks))) for _ in range(r.randint(1, 6)))
+        once = form(text)
+        assert form(once) == once, ascii(text)
+        assert form(unicodedata.normalize("NFC", text)) == once == form(unicodedata.normalize("NFD", text)), ascii(text)
+
+
+def test_letters_drawn_like_latin_ones(spark):
+    letters = visible.confusable_letters(spark)
+    form = visible.visible_form(letters)
+    assert len(letters) > 100
+    assert form("\u13aa\ua4ee A") == "AA A" and form("\ua4f3\u13d9\u2c92") == form("OVI")
+    for a, b in DIFFERENT:
+        assert form(a) != form(b), (a, b)
+
+
 def test_conflicts_are_found(monkeypatch):
     monkeypatch.setattr(visible, "LOOK_ALIKES", "a:а b:а")
     with pytest.raises(visible.Conflict):
@@ -374,7 +395,7 @@ def test_conflicts_are_found(monkeypatch):
         visible.build_mapping()
 
 
-def test_pairs_that_look_the_same(spark):
+def test_pairs_that_look_the_same(spark, monkeypatch):
     texts = {1: "Anno domini", 2: "Аnno  domini", 3: "anno domini", 4: None, 5: "", 6: " ​", 7: "Anno domini", 8: "Anno\ndomini", 9: "ſola", 10: "sola", 11: "x" * 50_000, 12: "х" + "x" * 49_999}
     rows = [(k, 1, "n", "p", t, None, "clash", b"f") for k, t in texts.items()]
     rows += [rows[0], (None, 1, "n", "p", "Anno domini", None, "y", b"f")]
@@ -387,6 +408,10 @@ def test_pairs_that_look_the_same(spark):
     forms = visible.normalize_visible(df).collect()
     assert len(forms) == len(rows) and all(x["text"] == form(texts.get(x["doc_idx"], "Anno domini")) for x in forms)
     assert visible.look_same_pairs(df.limit(0)).collect() == []
+    monkeypatch.setattr(visible, "BLOCK_ROWS", 2)
+    assert {tuple(x) for x in visible.look_same_pairs(df).collect()} == expected
+    members = {x["doc_idx"]: (x["class_id"], x["group_id"]) for x in visible.look_same_members(df).collect()}
+    assert members == {1: (1, 1), 2: (2, 1), 7: (1, 1), 8: (8, 1), 11: (11, 11), 12: (12, 11)}
 
 
 def test_canonically_equal_spellings_have_one_form():
