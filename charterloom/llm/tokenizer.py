@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charterloom.llm.batches import by_rows
@@ -41,12 +41,13 @@ PRE_TOKENS = (
 )
 
 _GOLDEN, _M32 = 0x9E3779B1, 0xFFFFFFFF
-_MEMO_LIMIT = 200_000
+#: Entries of a memo, and the longest pre-token kept in one, which together bound its memory.
+_MEMO_LIMIT, _MEMO_LONGEST = 200_000, 64
 _ROWS = 512
 
 
 def _byte_alphabet() -> dict[str, int]:
-    """Printable stand-in characters of the 256 bytes in byte-level vocabularies."""
+    """Stand-in characters of the 256 bytes in byte-level vocabularies (fixed values)."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     spare = iter(range(256, 512))
     return {chr(b if b in plain else next(spare)): b for b in range(256)}
@@ -127,16 +128,18 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Pre-token to ids; misses are computed, and the memo starts anew when full."""
+    """Pre-token to ids; misses are computed, long ones are not kept, and the memo starts anew when full."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
     def __missing__(self, token: str):
-        if len(self) >= _MEMO_LIMIT:
-            self.clear()
-        out = self[token] = self.encode(token)
+        out = self.encode(token)
+        if len(token) <= _MEMO_LONGEST:
+            if len(self) >= _MEMO_LIMIT:
+                self.clear()
+            self[token] = out
         return out
 
 
@@ -244,8 +247,3 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, f"{kinds}, `{size}` bigint")
-
-
-def is_encoded(ids: Column) -> Column:
-    """True where an encoding has at least one id."""
-    return F.size(ids) > 0

@@ -151,16 +151,18 @@ def build_mapping(confusable: tuple[tuple[str, str], ...] = ()) -> dict[str, str
 
 
 class _Clusters(dict):
-    """Cluster to what it shows, filled on demand and started anew when full."""
+    """Cluster to what it shows, filled on demand; long clusters are not kept, and it starts anew when full."""
 
     def __init__(self, shown) -> None:
         super().__init__()
         self.shown = shown
 
     def __missing__(self, found: str) -> str:
-        if len(self) >= 100_000:
-            self.clear()
-        out = self[found] = self.shown(found)
+        out = self.shown(found)
+        if len(found) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[found] = out
         return out
 
 
