@@ -98,7 +98,85 @@ _YEAR = "coalesce(try_cast(nullif(regexp_extract(coalesce(name, ''), '(?:^|[^0-9
 _LCS = """list_reduce(list_transform(range(1, len(b) + 1), lambda q: [q]), lambda acc, ch: list_reduce(list_transform(range(1, len(a) + 1), lambda k: [k]),
   lambda cur, k: list_append(cur, greatest(acc[k[1]] + (CASE WHEN a[k[1]] = b[ch[1]] THEN 1 ELSE 0 END), acc[k[1] + 1], cur[k[1]])), [0::BIGINT]), list_transform(range(len(a) + 1), lambda x: 0::BIGINT))"""
 
+_SPACE = _WHITE[1:-2]
+#: Display tokens with the white space before them, as pieces that join to the text again.
+_PIECES = rf"[{_SPACE}]*(?:[\p{{L}}\p{{N}}_]+(?:[-'’][\p{{L}}\p{{N}}_]+)*|\.\.\.|[^\p{{L}}\p{{N}}_{_SPACE}])".replace("'", "''")
+_TEXTS = f"""{_STORED}, {_CORPUS}, docs AS (SELECT doc_idx, 1 AS corpus, name, text FROM rec UNION ALL SELECT doc_idx, 2, name, text FROM formulary),
+pieces AS (SELECT doc_idx, regexp_extract_all(coalesce(text, ''), '{_PIECES}') AS pc FROM docs),
+shown AS (SELECT doc_idx, pc, list_transform(pc, lambda x: regexp_replace(x, '^{_WHITE}', '')) AS ws FROM pieces),
+lnk AS (SELECT i, j FROM st WHERE score >= 0.6 AND i <> j)"""
+
+
+def _blocks(pairs: str, words: str) -> str:
+    """Matching blocks by longest-block recursion: maximal diagonal runs once, then clipped to what is still open."""
+
+    def best(rectangles: str) -> str:
+        clipped = f"""SELECT s.*, r.a AS ra, r.b AS rb, greatest(0, s.alo - r.a, s.blo - r.b) AS f, least(r.n, s.ahi - r.a, s.bhi - r.b) AS t
+    FROM ({rectangles}) s JOIN runs r USING (i, j)"""
+        return f"""SELECT i, j, alo, ahi, blo, bhi, ra + f AS a, rb + f AS b, t - f AS n FROM ({clipped}) WHERE t > f
+  QUALIFY row_number() OVER (PARTITION BY i, j, alo, ahi, blo, bhi ORDER BY t - f DESC, ra + f, rb + f) = 1"""
+
+    whole = best("SELECT i, j, 0::BIGINT AS alo, len(t1) AS ahi, 0::BIGINT AS blo, len(t2) AS bhi FROM par")
+    parts = best("SELECT i, j, if(k = 0, alo, a + n) AS alo, if(k = 0, a, ahi) AS ahi, if(k = 0, blo, b + n) AS blo, if(k = 0, b, bhi) AS bhi FROM rect, (VALUES (0), (1)) v(k)")
+    return f"""lists AS ({words}),
+par AS (SELECT i, j, x.ws AS t1, y.ws AS t2 FROM ({pairs}) JOIN lists x ON x.doc_idx = i JOIN lists y ON y.doc_idx = j WHERE len(x.ws) > 0 AND len(y.ws) > 0),
+wd AS (SELECT doc_idx, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM lists),
+cell AS (SELECT i, j, x.p AS a, y.p AS b FROM par JOIN wd x ON x.doc_idx = i JOIN wd y ON y.doc_idx = j AND y.word = x.word),
+runs AS (SELECT i, j, min(a) AS a, min(b) AS b, count(*) AS n FROM (SELECT *, a - row_number() OVER (PARTITION BY i, j, a - b ORDER BY a) AS g FROM cell) GROUP BY i, j, a - b, g),
+rect AS ({whole}
+  UNION ALL
+  {parts}),
+blk AS (SELECT i, j, CAST(row_number() OVER (PARTITION BY i, j ORDER BY a, b, n DESC) - 1 AS INTEGER) AS seq, a, b, n AS size FROM (
+  SELECT i, j, a, b, n FROM rect UNION ALL SELECT i, j, len(t1), len(t2), 0 FROM par)),
+prev AS (SELECT *, coalesce(lag(a + size) OVER o, 0) AS pa, coalesce(lag(b + size) OVER o, 0) AS pb FROM blk WINDOW o AS (PARTITION BY i, j ORDER BY seq)),
+gap AS (SELECT i, j, seq, t1[pa + 1:a] AS gap1, t2[pb + 1:b] AS gap2 FROM prev JOIN par USING (i, j) WHERE size > 0)"""
+
+
+_WORDWISE = _blocks("SELECT i, j FROM lnk", r"SELECT doc_idx, list_transform(list_filter(ws, lambda w: regexp_matches(w, '^[\p{L}\p{N}]+$')), lambda w: lower(w)) AS ws FROM shown")
+_SEGMENTS = (
+    _blocks("SELECT i, j FROM lnk UNION ALL SELECT j, i FROM lnk", "SELECT doc_idx, ws FROM shown")
+    + f""",
+seg AS (SELECT DISTINCT i AS doc_idx, trim(regexp_replace(array_to_string(pc[a + 1:a + size], ''), '{_WHITE}', ' ', 'g'), ' ') AS segment FROM blk JOIN shown ON doc_idx = i WHERE size > 4)"""
+)
+_RELATED = """d AS (SELECT i, j FROM lnk UNION ALL SELECT j, i FROM lnk),
+g AS (SELECT i, count(*) AS n, string_agg(coalesce(name, ''), ', ' ORDER BY coalesce(name, '')) AS r FROM d JOIN docs ON docs.doc_idx = d.j GROUP BY i)"""
+
+
+def _otsu(scores: str) -> str:
+    """(bin, centre, v) of the cuts of the weighted histogram of ``scores`` (score, wgt)."""
+    return f"""sc AS ({scores}),
+lim AS (SELECT min(score) AS lo, max(score) AS hi FROM sc),
+cnt AS (SELECT CAST(least(floor((score - lo) / (hi - lo) * 256), 255) AS INTEGER) AS bin, CAST(sum(wgt) AS DOUBLE) AS c FROM sc, lim GROUP BY 1),
+full_ AS (SELECT r.bin, lo + (r.bin + 0.5::DOUBLE) * ((hi - lo) / 256) AS centre, coalesce(c, 0.0) AS c FROM (SELECT unnest(range(256)) AS bin) r LEFT JOIN cnt USING (bin), lim),
+run AS (SELECT bin, centre, sum(c) OVER w AS w1, sum(c * centre) OVER w AS s1, sum(c) OVER () AS n, sum(c * centre) OVER () AS s FROM full_ WINDOW w AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT bin, centre, round(w1 * (n - w1) * (s1 / w1 - (s - s1) / (n - w1)) * (s1 / w1 - (s - s1) / (n - w1)), 9) AS v FROM run WHERE bin < 255 AND w1 > 0 AND w1 < n)"""
+
+
 ORACLE: dict[str, str] = {
+    "matching_blocks": f"WITH RECURSIVE {_TEXTS}, {_WORDWISE} SELECT i, j, seq, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(size AS INTEGER) AS size FROM blk",
+    "gap_pairs": f"WITH RECURSIVE {_TEXTS}, {_WORDWISE} SELECT i, j, seq, gap1, gap2 FROM gap",
+    "linguistic_variations": f"""WITH RECURSIVE {_TEXTS}, {_WORDWISE},
+short AS (SELECT * FROM gap WHERE len(gap1) BETWEEN 1 AND 5 OR len(gap2) BETWEEN 1 AND 5),
+equal AS (SELECT i, j, seq, generate_subscripts(gap1, 1) - 1 AS pos, unnest(gap1) AS token_1, unnest(gap2) AS token_2 FROM short WHERE len(gap1) = len(gap2)),
+tw AS (SELECT DISTINCT token_1, token_2, regexp_extract_all(token_1, '(?s).') AS a, regexp_extract_all(token_2, '(?s).') AS b FROM equal),
+rt AS (SELECT token_1, token_2, 2.0::DOUBLE * ({_LCS})[-1] / (len(a) + len(b)) AS ratio FROM tw),
+alone AS (SELECT i, j, seq, generate_subscripts(z, 1) - 1 AS pos, unnest(z) AS z FROM (SELECT i, j, seq, list_concat(
+  list_transform(gap1, lambda x: {{'x': x, 'y': '-'}}), list_transform(gap2, lambda x: {{'x': '-', 'y': x}})) AS z FROM short WHERE len(gap1) <> len(gap2))),
+alt AS (SELECT i, j, seq, pos, CASE WHEN ratio >= 0.75 THEN 'Similar Bridge Word' ELSE 'Different Bridge Word' END AS variation_type, token_1, token_2 FROM equal JOIN rt USING (token_1, token_2)
+  UNION ALL SELECT i, j, seq, pos, 'Different Bridge Word', z.x, z.y FROM alone)
+SELECT i, j, seq, CAST(pos AS INTEGER) AS pos, coalesce(x.name, '') AS file_1, coalesce(y.name, '') AS file_2, variation_type, token_1, token_2
+FROM alt JOIN docs x ON x.doc_idx = i JOIN docs y ON y.doc_idx = j""",
+    "long_segments": f"WITH RECURSIVE {_TEXTS}, {_SEGMENTS} SELECT doc_idx, segment FROM seg",
+    "similarity_summary": f"""WITH RECURSIVE {_TEXTS}, {_SEGMENTS}, {_RELATED},
+ls AS (SELECT doc_idx, string_agg('"' || segment || '"', ' | ' ORDER BY length(segment) DESC, segment) AS s FROM seg GROUP BY doc_idx)
+SELECT rec.doc_idx, coalesce(rec.name, '') AS document_filename, coalesce(g.n, 0) AS similarity_frequency, coalesce(r, 'None') AS related_documents, coalesce(s, 'None') AS long_similarities
+FROM rec LEFT JOIN g ON g.i = rec.doc_idx LEFT JOIN ls USING (doc_idx)""",
+    "pipeline_cutoff": f"""WITH {_weights(False)}, every AS (SELECT * FROM wt WHERE df > 1),
+pairs AS (SELECT a.doc_idx AS i, b.doc_idx AS j, sum(a.w * b.w) AS score FROM every a JOIN every b ON a.feature = b.feature AND a.doc_idx < b.doc_idx GROUP BY ALL),
+dg AS (SELECT count(DISTINCT doc_idx) AS diagonal FROM post),
+{_otsu("SELECT score, 2 AS wgt FROM pairs UNION ALL SELECT 1.0, diagonal FROM dg")},
+th AS (SELECT centre FROM cut ORDER BY v DESC, bin LIMIT 1)
+SELECT diagonal, (SELECT count(*) FROM pairs) AS n_pairs, round(centre, 9) AS threshold, (SELECT count(*) FROM pairs WHERE score >= centre) AS n_kept FROM dg, th""",
     "corpus_scan": f"""SELECT doc_id AS doc_idx, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM (
 SELECT doc_id, trim(regexp_replace(text, '{_WHITE}', ' ', 'g'), ' ') AS t FROM documents) WHERE length(t) >= 150""",
     "corpus_union": f"WITH {_CORPUS} SELECT 1 AS corpus, count(*) AS n_docs, count(text) AS n_texts FROM rec UNION ALL SELECT 2, count(*), count(text) FROM formulary",
@@ -148,12 +226,7 @@ SELECT a.doc_idx AS i, b.doc_idx AS j, coalesce(score, 0.0) AS score FROM f a CR
 cells AS (SELECT i, j, score FROM st UNION ALL SELECT j, i, score FROM st WHERE i <> j)
 SELECT c.doc_idx AS i, f.doc_idx AS j, coalesce(score, 0.0) AS score FROM c CROSS JOIN formulary f LEFT JOIN cells ON cells.i = c.doc_idx AND cells.j = f.doc_idx""",
     "stored_pairs": f"WITH {_STORED} SELECT i, j, score FROM st",
-    "otsu_threshold": f"""WITH {_STORED}, sc AS (SELECT score, CASE WHEN i = j THEN 1 ELSE 2 END AS wgt FROM st),
-lim AS (SELECT min(score) AS lo, max(score) AS hi FROM sc),
-cnt AS (SELECT CAST(least(floor((score - lo) / (hi - lo) * 256), 255) AS INTEGER) AS bin, CAST(sum(wgt) AS DOUBLE) AS c FROM sc, lim GROUP BY 1),
-full_ AS (SELECT r.bin, lo + (r.bin + 0.5::DOUBLE) * ((hi - lo) / 256) AS centre, coalesce(c, 0.0) AS c FROM (SELECT unnest(range(256)) AS bin) r LEFT JOIN cnt USING (bin), lim),
-run AS (SELECT bin, centre, sum(c) OVER w AS w1, sum(c * centre) OVER w AS s1, sum(c) OVER () AS n, sum(c * centre) OVER () AS s FROM full_ WINDOW w AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
-cut AS (SELECT bin, centre, round(w1 * (n - w1) * (s1 / w1 - (s - s1) / (n - w1)) * (s1 / w1 - (s - s1) / (n - w1)), 9) AS v FROM run WHERE bin < 255 AND w1 > 0 AND w1 < n)
+    "otsu_threshold": f"""WITH {_STORED}, {_otsu("SELECT score, CASE WHEN i = j THEN 1 ELSE 2 END AS wgt FROM st")}
 SELECT round(centre, 9) AS threshold FROM cut ORDER BY v DESC, bin LIMIT 1""",
     "percentile_threshold": f"""WITH {_STORED} SELECT round(quantile_cont(score, 0.99), 9) AS threshold FROM (
 SELECT score, unnest(range(CASE WHEN i = j THEN 1 ELSE 2 END)) FROM st)""",

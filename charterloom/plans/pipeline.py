@@ -57,12 +57,18 @@ def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) ->
     return weights, materialize(pairs, "pairs"), config, diagonal
 
 
+def cutoff(pairs: DataFrame, diagonal: int, config: Config, inter: bool) -> float:
+    """The similarity cutoff; within one corpus pairs count twice and the diagonal once, as a symmetric matrix stores them."""
+    scores = pairs.select("score", F.lit(1).cast("bigint").alias("weight")) if inter else threshold.weighted_scores(pairs, diagonal)
+    return threshold.choose(scores, config.similarity_threshold, config.auto_threshold_method)
+
+
 def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None = None) -> Result:
     """All stages over loaded documents (doc_idx, corpus, name, path, text); reports go to ``folder``."""
     docs = materialize(docs.select("doc_idx", "corpus", "name", "path", "text"), "docs")
     tokens = tokenize(docs, config)
     weights, pairs, config, diagonal = compare(docs, tokens, config, inter)
-    cutoff = threshold.choose(threshold.weighted_scores(pairs, diagonal) if not inter else pairs.select("score", F.lit(1).cast("bigint").alias("weight")), config.similarity_threshold, config.auto_threshold_method)
+    least = cutoff(pairs, diagonal, config, inter)
     files = []
     if folder:
         os.makedirs(folder, exist_ok=True)
@@ -72,12 +78,12 @@ def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None
             if config.gen_heatmap and (page := reports.write_heatmap(pairs, docs, at("similarity_heatmap.html"), inter)):
                 files.append(page)
             if config.gen_comparison_html:
-                files += reports.write_comparison_html(pairs, docs, cutoff, folder, config.max_gap_words, config.fuzz_threshold)
+                files += reports.write_comparison_html(pairs, docs, least, folder, config.max_gap_words, config.fuzz_threshold)
             if config.gen_summary_tsv:
-                files.append(reports.write_summary_tsv(pairs, docs, cutoff, at("similarity_summary.tsv"), inter))
+                files.append(reports.write_summary_tsv(pairs, docs, least, at("similarity_summary.tsv"), inter))
             if config.gen_linguistic_tsv:
-                files.append(reports.write_variations_tsv(pairs, docs, cutoff, at("linguistic_variations.tsv"), config.fuzz_threshold, config.max_gap_words))
-    return Result(docs, tokens, weights, pairs, cutoff, config, inter, files)
+                files.append(reports.write_variations_tsv(pairs, docs, least, at("linguistic_variations.tsv"), config.fuzz_threshold, config.max_gap_words))
+    return Result(docs, tokens, weights, pairs, least, config, inter, files)
 
 
 def run_folders(spark: SparkSession, config: Config, folder: str) -> Result:

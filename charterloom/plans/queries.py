@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from charterloom.config import Config, parse_bigram_rules, parse_phonetic_rules
 from charterloom.functions import text as T
 from charterloom.operators import align, autotune, bpe, encode, features, normalize, reports, similarity, threshold, vocab
+from charterloom.plans import pipeline
 from charterloom.plans.materialize import materialize
 from charterloom.sources.files import first_per_group, long_enough
 from charterloom.sources.tables import latest_rows, table
@@ -298,6 +299,16 @@ def otsu_threshold(spark, d):
     return threshold.otsu(materialize(threshold.weighted_scores(stored(spark, d)), "scores")).withColumn("threshold", F.round("threshold", 9))
 
 
+@query
+def pipeline_cutoff(spark, d):
+    """The stages of a run from tokens on: pairs, diagonal, automatic threshold and what it keeps."""
+    tokens = materialize(token_lists(spark, d, False), "tokens")
+    _, pairs, _, diagonal = pipeline.compare(tokens, tokens, CONFIG, False)
+    cutoff = pipeline.cutoff(pairs, diagonal, CONFIG, False)
+    kept = pairs.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("score") >= cutoff).alias("n_kept"))
+    return kept.select(F.lit(diagonal).cast("bigint").alias("diagonal"), "n_pairs", F.lit(round(cutoff, 9)).alias("threshold"), "n_kept")
+
+
 @query
 def percentile_threshold(spark, d):
     return threshold.percentile(threshold.weighted_scores(stored(spark, d))).withColumn("threshold", F.round("threshold", 9))
