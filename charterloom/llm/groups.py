@@ -49,9 +49,8 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
-    """``rows`` with ``value`` from the written ``table`` (one row for each ``key``), null where it has none."""
-    size = table.count()
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, size: int) -> DataFrame:
+    """``rows`` with ``value`` from the written ``table`` of ``size`` rows (one for each ``key``), null where it has none."""
     if size <= tables.BROADCAST_KEYS:
         return rows.join(F.broadcast(table), key, "left")
     rows = materialize(rows, "rows")
@@ -64,9 +63,10 @@ def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataF
 
 def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges between the labels of their ends; ends without a label keep themselves."""
+    size = labels.count()
     for end in ("a", "b"):
         own = labels.select(F.col("v").alias(end), F.col("label").alias("_label"))
-        edges = _looked_up(edges, end, own, "_label").withColumn(end, F.coalesce("_label", end)).drop("_label")
+        edges = _looked_up(edges, end, own, "_label", size).withColumn(end, F.coalesce("_label", end)).drop("_label")
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -116,10 +116,10 @@ def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -
     roots = maps[-1]
     for labels in reversed(maps[:-1]):
         onward = materialize(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "onward")
-        roots = _looked_up(labels, "label", onward, "root").select("v", F.coalesce("root", "label").alias("label"))
+        roots = _looked_up(labels, "label", onward, "root", onward.count()).select("v", F.coalesce("root", "label").alias("label"))
     roots = materialize(roots, "roots")
     names = materialize(roots.groupBy("label").agg(F.min("v").alias("group_id")), "names")
-    named = _looked_up(roots, "label", names, "group_id").select(F.col("v").alias("doc_idx"), "group_id")
+    named = _looked_up(roots, "label", names, "group_id", names.count()).select(F.col("v").alias("doc_idx"), "group_id")
     if not whole:  # the vertex that stands for the giant component may have been joined with others
         at = roots.where(F.col("v") == least).join(names, "label").first()
         least = at["group_id"] if at else least
