@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from charterloom.functions.batches import by_bytes
 from charterloom.functions.text import alnum_tokens, fuzzy_ratio, year_of
 
 SIMILAR, DIFFERENT = "Similar Bridge Word", "Different Bridge Word"
@@ -20,6 +21,10 @@ LONG_MATCH = 4
 #: Words with inner apostrophes, hyphens or points; numbers; single marks.
 _TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|\.\.\.|[^\w\s]")
 _PAIR = "array<struct<a:int,b:int,size:int>>"
+_ALNUM = re.compile(r"[^\W_]+").fullmatch
+
+#: A document of more than one of so many pairs is hot; its text is joined in so many parts of its pairs.
+HOT_PART, SALTS = 200, 32
 
 
 def token_spans(text: str | None) -> list[tuple[int, int]]:
@@ -59,10 +64,21 @@ def with_display_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_documents(pairs: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Both documents of each pair as ``c1`` and ``c2`` for each column ``c``; only documents that occur are joined."""
-    for side, end in ((1, "i"), (2, "j")):
-        own = docs.select(F.col("doc_idx").alias(end), *[F.col(c).alias(f"{c}{side}") for c in columns])
-        pairs = pairs.join(own, end)
+    """Both documents of each pair as ``c1`` and ``c2`` for each column ``c``; only documents that occur are joined.
+
+    A document that stands in more than one of ``HOT_PART`` pairs, of which
+    there are at most ``HOT_PART`` on a side, is copied ``SALTS`` times, and
+    its pairs are spread over the copies.
+    """
+    n = pairs.count()
+    for side, end, other in ((1, "i", "j"), (2, "j", "i")):
+        hot = pairs.groupBy(end).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_PART > n).select(end, F.lit(SALTS).alias("_salts"))
+        hot = F.broadcast(hot)
+        salts = F.coalesce("_salts", F.lit(1))
+        own = docs.select(F.col("doc_idx").alias(end), *[F.col(c).alias(f"{c}{side}") for c in columns]).join(hot, end, "left")
+        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+        spread = pairs.join(hot, end, "left").withColumn("_salt", F.pmod(F.hash(other), salts)).drop("_salts")
+        pairs = spread.join(own, [end, "_salt"]).drop("_salt")
     return pairs
 
 
@@ -77,7 +93,7 @@ def align(pairs: DataFrame, docs: DataFrame, case_sensitive: bool = False) -> Da
     both = pair_documents(pairs.select("i", "j", "score"), prepared, ["t"]).where("size(t1) > 0 and size(t2) > 0")
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             a, b = batch.column("t1").to_pylist(), batch.column("t2").to_pylist()
             found = [[{"a": x, "b": y, "size": n} for x, y, n in blocks_of(s, t)] for s, t in zip(a, b, strict=True)]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("size", pa.int32())]))
@@ -146,7 +162,7 @@ def long_segments(pairs: DataFrame, docs: DataFrame, longer_than: int = LONG_MAT
     both = pair_documents(pairs.select("i", "j"), docs, ["text"]).select("i", "j", "text1", "text2")
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             owners, segments = [], []
             for i, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = token_spans(a)
@@ -173,42 +189,42 @@ def _join_words(words: list[str]) -> str:
     return re.sub(r"([(\[«„]) ", r"\1", re.sub(r" ([.,;:!?)\]»”…])", r"\1", " ".join(words)))
 
 
-def _gap_html(left: list[str], right: list[str], max_gap: int, fuzz: float) -> tuple[str, str]:
-    a, b = _join_words(left), _join_words(right)
-    if not a and not b:
-        return "", ""
-    n, m = (sum(bool(re.match(r"^[^\W_]+$", w)) for w in side) for side in (left, right))
-    if n > max_gap or m > max_gap or n + m == 0:
-        return html.escape(a), html.escape(b)
-    ratio = indel_ratio(a.lower(), b.lower())
-    kind = "is-similar" if ratio >= fuzz else "is-dissimilar"
-    wrap = lambda s: f'<span class="bridge-words"><span class="dynamic-bridge-word {kind}" data-fuzz="{ratio:.3f}">{html.escape(s)}</span></span>'
-    return wrap(a), wrap(b)
+def _bridge(sides: list[list[str]], max_gap: int, fuzz: float) -> list[str]:
+    """Markup of both sides of a gap: bridge words with their likeness if the gap is short and holds a word."""
+    plain = [_join_words(side) for side in sides]
+    counts = [sum(_ALNUM(w) is not None for w in side) for side in sides]
+    if max(counts) > max_gap or not any(counts):
+        return [html.escape(text) for text in plain]
+    ratio = indel_ratio(*(text.lower() for text in plain))
+    span = f'<span class="bridge-words"><span class="dynamic-bridge-word is-{"similar" if ratio >= fuzz else "dissimilar"}" data-fuzz="{ratio:.3f}">'
+    return [f"{span}{html.escape(text)}</span></span>" for text in plain]
+
+
+def _match(words: list[str]) -> str:
+    """Escaped words of a match with their punctuation marked."""
+    return re.sub(r"([^\w\s&;#]|&(?:amp|lt|gt|quot|#x27);)", r'<span class="punct-in-match">\1</span>', html.escape(_join_words(words)))
 
 
 def highlight(text1: str, text2: str, pair_id: str, max_gap: int = 5, fuzz: float = 0.75) -> tuple[str, str, int]:
-    """Both texts with matched stretches and short gaps marked up, and the number of matches.  Text is escaped."""
-    sides = []
-    for text in (text1, text2):
-        words = display_tokens(text)
-        sides.append((words, [k for k, w in enumerate(words) if re.match(r"^[^\W_]+$", w)]))
-    (w1, p1), (w2, p2) = sides
-    if not p1 or not p2:
-        return html.escape(_join_words(w1)), html.escape(_join_words(w2)), 0
-    marked = lambda ws: re.sub(r"([^\w\s&;#]|&(?:amp|lt|gt|quot|#x27);)", r'<span class="punct-in-match">\1</span>', html.escape(_join_words(ws)))
-    out1, out2, at1, at2, number = [], [], 0, 0, 0
-    for a, b, n in blocks_of([w1[k].lower() for k in p1], [w2[k].lower() for k in p2]):
-        if not n:
-            break
-        gap = _gap_html(w1[at1 : p1[a]], w2[at2 : p2[b]], max_gap, fuzz)
-        end1, end2 = p1[a + n - 1] + 1, p2[b + n - 1] + 1
-        tag = f'data-pair-id="{pair_id}" data-match-id="{number}"'
-        out1 += [gap[0], f'<span class="highlight clickable" {tag}>{marked(w1[p1[a] : end1])}</span>']
-        out2 += [gap[1], f'<span class="match-text" {tag}>{marked(w2[p2[b] : end2])}</span>']
-        at1, at2, number = end1, end2, number + 1
-    out1.append(html.escape(_join_words(w1[at1:])))
-    out2.append(html.escape(_join_words(w2[at2:])))
-    return " ".join(x for x in out1 if x), " ".join(x for x in out2 if x), number
+    """Both texts with matched stretches and short gaps marked up, and the number of matches.  Text is escaped.
+
+    Matches split each text into one gap more than there are matches; the last
+    gap is never marked up.
+    """
+    words = [display_tokens(text) for text in (text1, text2)]
+    places = [[k for k, w in enumerate(side) if _ALNUM(w)] for side in words]
+    found = blocks_of(*([side[k].lower() for k in at] for side, at in zip(words, places, strict=True))) if all(places) else []
+    # display-token ranges of the matches on each side
+    ranges = [[(at[block[s]], at[block[s] + block[2] - 1] + 1) for block in found if block[2]] for s, at in enumerate(places)]
+    holes = [list(zip([0, *(b for _, b in side)], [*(a for a, _ in side), len(words[s])], strict=True)) for s, side in enumerate(ranges)]
+    gaps_ = [[words[s][a:b] for a, b in side] for s, side in enumerate(holes)]
+    bridges = [_bridge(list(pair), max_gap, fuzz) for pair in list(zip(*gaps_, strict=True))[:-1]] + [[html.escape(_join_words(side[-1])) for side in gaps_]]
+    out = []
+    for s, kind in enumerate(("highlight clickable", "match-text")):
+        matches = [f'<span class="{kind}" data-pair-id="{pair_id}" data-match-id="{k}">{_match(words[s][a:b])}</span>' for k, (a, b) in enumerate(ranges[s])]
+        parts = [x for bridge, match in zip([b[s] for b in bridges], [*matches, ""], strict=True) for x in (bridge, match)]
+        out.append(" ".join(filter(None, parts)))
+    return out[0], out[1], len(ranges[0])
 
 
 def highlighted_pairs(pairs: DataFrame, docs: DataFrame, max_gap: int = 5, fuzz: float = 0.75) -> DataFrame:
@@ -218,7 +234,7 @@ def highlighted_pairs(pairs: DataFrame, docs: DataFrame, max_gap: int = 5, fuzz:
     rows = order.join(own.toDF("first", "name1", "text1"), "first").join(own.toDF("second", "name2", "text2"), "second")
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             rows = batch.to_pylist()
             found = [highlight(r["text1"], r["text2"], f"{r['i']}-{r['j']}", max_gap, fuzz) for r in rows]
             columns = [*(batch.column(c) for c in ("i", "j", "score", "name1", "name2")), *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1)), pa.array([f[2] for f in found], pa.int32())]

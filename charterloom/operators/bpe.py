@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charterloom.functions.batches import by_bytes
 from charterloom.plans.materialize import discard, materialize
 
 SPECIAL = 5
@@ -235,7 +236,7 @@ def tokenize(norm: DataFrame, merges: Merges, keys: list[str], text: str = "norm
     def run(batches):
         memo: dict[str, list[str]] = {}
         segmenter = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches):
             out = []
             for body in batch.column(len(keys)).to_pylist():
                 tokens: list[str] = []

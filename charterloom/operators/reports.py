@@ -131,15 +131,19 @@ def write_variations_tsv(pairs: DataFrame, docs: DataFrame, threshold: float, pa
     return write_tsv(named_variations(pairs, docs, threshold, fuzz, max_gap), path, header, ["i", "j", "seq", "pos"], [h.lower() for h in header])
 
 
-def write_heatmap(pairs: DataFrame, docs: DataFrame, path: str, inter: bool = False, limit: int = HEATMAP_LIMIT) -> str | None:
-    """The dense matrix as a self-contained page with a canvas; None beyond ``limit`` documents a side."""
+def write_heatmap(pairs: DataFrame, docs: DataFrame, path: str, featureful: DataFrame | None = None, limit: int = HEATMAP_LIMIT) -> str | None:
+    """The dense matrix as a self-contained page with a canvas; None beyond ``limit`` documents a side.
+
+    ``featureful`` (doc_idx) are the documents with features of a corpus compared with itself, None for two corpora.
+    """
+    inter = featureful is None
     ids = lambda corpus, end: docs.where(F.col("corpus") == corpus).select(F.col("doc_idx").alias(end))
     rows, columns = ids(1, "i"), ids(2 if inter else 1, "j")
     if rows.count() >= limit or columns.count() >= limit:
         return None
     name = {r["doc_idx"]: r["name"] or "" for r in docs.select("doc_idx", "name").collect()}  # fewer than 2 * limit rows
     row_ids, column_ids = (sorted(r[0] for r in x.collect()) for x in (rows, columns))
-    cells = {(r["i"], r["j"]): r["score"] for r in dense_matrix(pairs, rows, columns, not inter, limit).where("score > 0").toLocalIterator()}
+    cells = {(r["i"], r["j"]): r["score"] for r in dense_matrix(pairs, rows, columns, None if inter else featureful.select(F.col("doc_idx").alias("i")), limit).where("score > 0").toLocalIterator()}
     lines = [[round(cells.get((i, j), 0.0), 4) for j in column_ids] for i in row_ids]
     height, width = max(600, 20 * len(row_ids)), max(700, 20 * len(column_ids))
     title = "Similarity between two corpora" if inter else "Similarity within the corpus"

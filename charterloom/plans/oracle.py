@@ -133,6 +133,11 @@ gap AS (SELECT i, j, seq, t1[pa + 1:a] AS gap1, t2[pb + 1:b] AS gap2 FROM prev J
 
 
 _WORDWISE = _blocks("SELECT i, j FROM lnk", r"SELECT doc_idx, list_transform(list_filter(ws, lambda w: regexp_matches(w, '^[\p{L}\p{N}]+$')), lambda w: lower(w)) AS ws FROM shown")
+#: Likeness of the words of equally long short gaps.
+_LIKENESS = f"""short AS (SELECT * FROM gap WHERE len(gap1) BETWEEN 1 AND 5 OR len(gap2) BETWEEN 1 AND 5),
+equal AS (SELECT i, j, seq, generate_subscripts(gap1, 1) - 1 AS pos, unnest(gap1) AS token_1, unnest(gap2) AS token_2 FROM short WHERE len(gap1) = len(gap2)),
+tw AS (SELECT DISTINCT token_1, token_2, regexp_extract_all(token_1, '(?s).') AS a, regexp_extract_all(token_2, '(?s).') AS b FROM equal),
+rt AS (SELECT token_1, token_2, 2.0::DOUBLE * ({_LCS})[-1] / (len(a) + len(b)) AS ratio FROM tw)"""
 _SEGMENTS = (
     _blocks("SELECT i, j FROM lnk UNION ALL SELECT j, i FROM lnk", "SELECT doc_idx, ws FROM shown")
     + f""",
@@ -156,10 +161,7 @@ ORACLE: dict[str, str] = {
     "matching_blocks": f"WITH RECURSIVE {_TEXTS}, {_WORDWISE} SELECT i, j, seq, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(size AS INTEGER) AS size FROM blk",
     "gap_pairs": f"WITH RECURSIVE {_TEXTS}, {_WORDWISE} SELECT i, j, seq, gap1, gap2 FROM gap",
     "linguistic_variations": f"""WITH RECURSIVE {_TEXTS}, {_WORDWISE},
-short AS (SELECT * FROM gap WHERE len(gap1) BETWEEN 1 AND 5 OR len(gap2) BETWEEN 1 AND 5),
-equal AS (SELECT i, j, seq, generate_subscripts(gap1, 1) - 1 AS pos, unnest(gap1) AS token_1, unnest(gap2) AS token_2 FROM short WHERE len(gap1) = len(gap2)),
-tw AS (SELECT DISTINCT token_1, token_2, regexp_extract_all(token_1, '(?s).') AS a, regexp_extract_all(token_2, '(?s).') AS b FROM equal),
-rt AS (SELECT token_1, token_2, 2.0::DOUBLE * ({_LCS})[-1] / (len(a) + len(b)) AS ratio FROM tw),
+{_LIKENESS},
 alone AS (SELECT i, j, seq, generate_subscripts(z, 1) - 1 AS pos, unnest(z) AS z FROM (SELECT i, j, seq, list_concat(
   list_transform(gap1, lambda x: {{'x': x, 'y': '-'}}), list_transform(gap2, lambda x: {{'x': '-', 'y': x}})) AS z FROM short WHERE len(gap1) <> len(gap2))),
 alt AS (SELECT i, j, seq, pos, CASE WHEN ratio >= 0.75 THEN 'Similar Bridge Word' ELSE 'Different Bridge Word' END AS variation_type, token_1, token_2 FROM equal JOIN rt USING (token_1, token_2)
@@ -193,7 +195,7 @@ WHERE NOT regexp_matches(ch, '[a-z {''.join(SINGLE_LETTERS)}]') AND strpos('{''.
     "normalize_text": f"WITH {_NORMED} SELECT doc_idx, norm_text FROM norm",
     "encoding_loss": f"""WITH {_CORPUS} SELECT doc_idx, CASE WHEN length(text) > 0 THEN
 round(1 - length(regexp_replace(text, '[^a-z ]', '', 'g')) / length(text), 6) WHEN text IS NOT NULL THEN 0.0 END AS loss FROM rec""",
-    "alphabet_sample": """SELECT doc_idx, CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?s).'))), '') END AS alphabet FROM formulary""",
+    "alphabet_sample": f"""WITH {_CORPUS} SELECT doc_idx, CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?s).'))), '') END AS alphabet FROM rec""",
     "word_frequencies": f"WITH {_WORDS} SELECT word, freq FROM words",
     "frequent_words": f"WITH {_WORDS} SELECT word, freq FROM freq",
     "prefix_affixes": f"WITH {_AFFIXES} SELECT affix, CAST(sum(freq) AS BIGINT) AS c FROM pre GROUP BY affix",
@@ -220,7 +222,7 @@ FROM one a JOIN wt b ON a.feature = b.feature AND b.corpus = 2 GROUP BY ALL""",
     "cosine_above": f"WITH {_INTRA} SELECT i, j, score FROM pairs WHERE score >= 0.6",
     "topk_pairs": f"WITH {_INTRA} SELECT i, j, score FROM pairs ORDER BY score DESC, i, j LIMIT 20",
     "similarity_dense": f"""WITH {_STORED}, f AS (SELECT doc_idx FROM formulary),
-cells AS (SELECT i, j, score FROM st WHERE i <> j UNION ALL SELECT j, i, score FROM st WHERE i <> j UNION ALL SELECT doc_idx, doc_idx, 1.0 FROM f)
+cells AS (SELECT i, j, score FROM st WHERE i <> j UNION ALL SELECT j, i, score FROM st WHERE i <> j UNION ALL SELECT doc_idx, doc_idx, 1.0 FROM formulary WHERE len(list_filter(tokens, lambda t: t IS NOT NULL AND t <> '')) >= 6)
 SELECT a.doc_idx AS i, b.doc_idx AS j, coalesce(score, 0.0) AS score FROM f a CROSS JOIN f b LEFT JOIN cells c ON c.i = a.doc_idx AND c.j = b.doc_idx""",
     "similarity_dense_corpus": f"""WITH {_STORED}, c AS (SELECT DISTINCT doc_idx FROM corpus WHERE doc_idx IS NOT NULL),
 cells AS (SELECT i, j, score FROM st UNION ALL SELECT j, i, score FROM st WHERE i <> j)
@@ -241,8 +243,6 @@ SELECT rec.doc_idx, coalesce(rec.name, '') AS name, coalesce(n, 0) AS n_related,
 p AS (SELECT i, j, score, a.year AS ya, b.year AS yb FROM st JOIN y a ON a.doc_idx = i JOIN y b ON b.doc_idx = j WHERE score >= 0.6 AND i <> j)
 SELECT i, j, score, CASE WHEN ya > yb THEN j ELSE i END AS first, CASE WHEN ya > yb THEN i ELSE j END AS second,
 least(ya, yb) AS year_first, greatest(ya, yb) AS year_second FROM p""",
-    "fuzzy_ratio": f"""WITH w AS (SELECT lower(n_name) AS token_1, lower(r_name) AS token_2 FROM nation JOIN region ON n_regionkey = r_regionkey),
-p AS (SELECT *, regexp_extract_all(token_1, '(?s).') AS a, regexp_extract_all(token_2, '(?s).') AS b FROM w),
-x AS (SELECT token_1, token_2, 2.0::DOUBLE * ({_LCS})[-1] / (len(a) + len(b)) AS ratio FROM p)
-SELECT token_1, token_2, round(ratio, 9) AS ratio, CASE WHEN ratio >= 0.75 THEN 'is-similar' ELSE 'is-dissimilar' END AS kind FROM x""",
+    "fuzzy_ratio": f"""WITH RECURSIVE {_TEXTS}, {_WORDWISE}, {_LIKENESS}
+SELECT token_1, token_2, round(ratio, 9) AS ratio, CASE WHEN ratio >= 0.75 THEN 'is-similar' ELSE 'is-dissimilar' END AS kind FROM rt""",
 }

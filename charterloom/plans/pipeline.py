@@ -28,20 +28,21 @@ class Result:
     files: list[str]
 
 
-def tokenize(docs: DataFrame, config: Config) -> DataFrame:
-    """(doc_idx, corpus, tokens): normalised texts in subwords learned from them."""
+def tokenize(docs: DataFrame, config: Config) -> tuple[DataFrame, bpe.Merges]:
+    """(doc_idx, corpus, tokens): normalised texts in subwords learned from them, and the learned merges."""
     norm = materialize(normalize.normalize_texts(docs, config).select("doc_idx", "corpus", "norm_text"), "norm")
     counts = materialize(vocab.word_counts(norm), "words")
     size = vocab.suggest_size(counts, config.vocab_min_word_freq, config.vocab_coverage) if str(config.vocab_size) == "auto" else int(config.vocab_size)
     merges = bpe.learn(counts, vocab.capped_size(counts, size))
-    return materialize(bpe.tokenize(norm, merges, ["doc_idx", "corpus"]), "tokens")
+    return materialize(bpe.tokenize(norm, merges, ["doc_idx", "corpus"]), "tokens"), merges
 
 
-def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) -> tuple[DataFrame, DataFrame, Config, int]:
-    """(weights, pairs, config, diagonal) of tokenised documents; the config may have tuned window settings.
+def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) -> tuple[DataFrame, DataFrame, Config, DataFrame]:
+    """(weights, pairs, config, featureful) of tokenised documents; the config may have tuned window settings.
 
-    The diagonal of a corpus against itself has one entry per document with
-    features, shared or not, so it is counted before weights drop the others.
+    ``featureful`` (doc_idx) are the documents with features, shared or not:
+    the diagonal of a corpus against itself.  It is taken before weights drop
+    documents that share nothing.
     """
     dictionary = materialize(encode.token_dictionary(tokens), "ids")
     size = dictionary.count()
@@ -53,29 +54,30 @@ def compare(docs: DataFrame, tokens: DataFrame, config: Config, inter: bool) ->
     postings = materialize(features.feature_counts(encoded, size, ["doc_idx", "corpus"], config.ngram, config.n_out), "postings")
     weights = materialize(similarity.shared_weights(postings, docs.count()), "weights")
     pairs = similarity.cosine_inter(weights) if inter else similarity.cosine_intra(weights)
-    diagonal = 0 if inter else postings.select("doc_idx").distinct().count()
-    return weights, materialize(pairs, "pairs"), config, diagonal
+    return weights, materialize(pairs, "pairs"), config, materialize(postings.select("doc_idx").distinct(), "featureful")
 
 
-def cutoff(pairs: DataFrame, diagonal: int, config: Config, inter: bool) -> float:
+def cutoff(pairs: DataFrame, featureful: DataFrame, config: Config, inter: bool) -> float:
     """The similarity cutoff; within one corpus pairs count twice and the diagonal once, as a symmetric matrix stores them."""
-    scores = pairs.select("score", F.lit(1).cast("bigint").alias("weight")) if inter else threshold.weighted_scores(pairs, diagonal)
+    scores = pairs.select("score", F.lit(1).cast("bigint").alias("weight")) if inter else threshold.weighted_scores(pairs, featureful.count())
     return threshold.choose(scores, config.similarity_threshold, config.auto_threshold_method)
 
 
 def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None = None) -> Result:
     """All stages over loaded documents (doc_idx, corpus, name, path, text); reports go to ``folder``."""
     docs = materialize(docs.select("doc_idx", "corpus", "name", "path", "text"), "docs")
-    tokens = tokenize(docs, config)
-    weights, pairs, config, diagonal = compare(docs, tokens, config, inter)
-    least = cutoff(pairs, diagonal, config, inter)
+    tokens, merges = tokenize(docs, config)
+    weights, pairs, config, featureful = compare(docs, tokens, config, inter)
+    least = cutoff(pairs, featureful, config, inter)
     files = []
     if folder:
         os.makedirs(folder, exist_ok=True)
         at = lambda name: os.path.join(folder, name)
         files.append(reports.write_pairs(pairs, at("dist_mat.parquet")))
+        merges.save(at("subword_merges.json"))
+        files.append(at("subword_merges.json"))
         if not config.no_reports:
-            if config.gen_heatmap and (page := reports.write_heatmap(pairs, docs, at("similarity_heatmap.html"), inter)):
+            if config.gen_heatmap and (page := reports.write_heatmap(pairs, docs, at("similarity_heatmap.html"), None if inter else featureful)):
                 files.append(page)
             if config.gen_comparison_html:
                 files += reports.write_comparison_html(pairs, docs, least, folder, config.max_gap_words, config.fuzz_threshold)

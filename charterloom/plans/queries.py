@@ -134,7 +134,7 @@ def encoding_loss(spark, d):
 
 @query
 def alphabet_sample(spark, d):
-    return table(spark, d, "formulary").select("doc_idx", F.array_join(T.alphabet_of(F.col("text")), "").alias("alphabet"))
+    return corpus(spark, d).select("doc_idx", F.array_join(T.alphabet_of(F.col("text")), "").alias("alphabet"))
 
 
 # vocabulary
@@ -275,8 +275,8 @@ def topk_pairs(spark, d):
 def similarity_dense(spark, d):
     items = table(spark, d, "formulary").select("doc_idx")
     rows, columns = items.select(F.col("doc_idx").alias("i")), items.select(F.col("doc_idx").alias("j"))
-    pairs = stored(spark, d).where("i <> j")
-    return similarity.dense_matrix(pairs, rows, columns, True)
+    full = token_lists(spark, d).where((F.col("corpus") == 2) & (F.size("tokens") >= NGRAM)).select(F.col("doc_idx").alias("i"))
+    return similarity.dense_matrix(stored(spark, d).where("i <> j"), rows, columns, full)
 
 
 @query
@@ -303,10 +303,10 @@ def otsu_threshold(spark, d):
 def pipeline_cutoff(spark, d):
     """The stages of a run from tokens on: pairs, diagonal, automatic threshold and what it keeps."""
     tokens = materialize(token_lists(spark, d, False), "tokens")
-    _, pairs, _, diagonal = pipeline.compare(tokens, tokens, CONFIG, False)
-    cutoff = pipeline.cutoff(pairs, diagonal, CONFIG, False)
+    _, pairs, _, featureful = pipeline.compare(tokens, tokens, CONFIG, False)
+    cutoff = pipeline.cutoff(pairs, featureful, CONFIG, False)
     kept = pairs.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("score") >= cutoff).alias("n_kept"))
-    return kept.select(F.lit(diagonal).cast("bigint").alias("diagonal"), "n_pairs", F.lit(round(cutoff, 9)).alias("threshold"), "n_kept")
+    return kept.select(F.lit(featureful.count()).cast("bigint").alias("diagonal"), "n_pairs", F.lit(round(cutoff, 9)).alias("threshold"), "n_kept")
 
 
 @query
@@ -379,9 +379,10 @@ def comparison_html_segments(spark, d):
 
 @query
 def fuzzy_ratio(spark, d):
-    words = table(spark, d, "nation").select(F.lower("n_name").alias("token_1"), "n_regionkey")
-    regions = table(spark, d, "region").select(F.lower("r_name").alias("token_2"), F.col("r_regionkey").alias("n_regionkey"))
-    return align.bridge_classes(words.join(regions, "n_regionkey"), CONFIG.fuzz_threshold).withColumn("ratio", F.round("ratio", 9))
+    """Likeness of the words that stand against each other in the gaps of all linked pairs."""
+    found = align.variations(align.gaps(_aligned(spark, d)), CONFIG.fuzz_threshold, CONFIG.max_gap_words)
+    words = found.where("token_1 <> '-' and token_2 <> '-'").select("token_1", "token_2").distinct()
+    return align.bridge_classes(words, CONFIG.fuzz_threshold).withColumn("ratio", F.round("ratio", 9))
 
 
 @query

@@ -324,10 +324,10 @@ def test_no_pairs(spark):
 def test_dense(spark):
     ids = spark.createDataFrame([(k,) for k in range(3)], "i bigint")
     pairs = spark.createDataFrame([(0, 2, 0.5)], "i bigint, j bigint, score double")
-    got = {(r["i"], r["j"]): r["score"] for r in similarity.dense_matrix(pairs, ids, ids.withColumnRenamed("i", "j"), True).collect()}
-    assert got == {(a, b): 1.0 if a == b else 0.5 if {a, b} == {0, 2} else 0.0 for a in range(3) for b in range(3)}
+    got = {(r["i"], r["j"]): r["score"] for r in similarity.dense_matrix(pairs, ids, ids.withColumnRenamed("i", "j"), ids.where("i < 2")).collect()}
+    assert got == {(a, b): float(a < 2) if a == b else 0.5 if {a, b} == {0, 2} else 0.0 for a in range(3) for b in range(3)}
     with pytest.raises(ValueError):
-        similarity.dense_matrix(pairs, ids, ids.withColumnRenamed("i", "j"), True, limit=3)
+        similarity.dense_matrix(pairs, ids, ids.withColumnRenamed("i", "j"), ids, limit=3)
 
 
 def test_dense_rows(spark):
@@ -473,7 +473,7 @@ def test_reports(spark, tmp_path):
     pages = reports.write_comparison_html(pairs, docs, 0.8, str(tmp_path), most=10)
     assert len(pages) == 3 and pages[1].endswith("text_comparisons_02.html")
     assert reports.write_comparison_html(pairs, docs, 0.99, str(tmp_path)) == []
-    assert reports.write_heatmap(pairs, docs, str(tmp_path / "h.html")) and reports.write_heatmap(pairs, docs, "", limit=5) is None
+    assert reports.write_heatmap(pairs, docs, str(tmp_path / "h.html"), docs.select("doc_idx")) and reports.write_heatmap(pairs, docs, "", docs.select("doc_idx"), limit=5) is None
     assert list(reports.split_pages(iter(["aa", "b", "cccc"]), 3)) == [["aa", "b"], ["cccc"]]
 
 
@@ -547,3 +547,31 @@ def test_command_line():
 
     config, output = parse(["--input_path", "x", "--ngram", "5", "--auto_tune", "true", "--output", "y"])
     assert (config.ngram, config.auto_tune, output) == (5, True, "y")
+
+
+def test_large_dictionaries_join_by_shuffle_with_the_frequent_tokens_apart(spark, monkeypatch):
+    rows = [(k, 1, ["hot"] * 30 + [f"t{k % 7}", "x", None, ""]) for k in range(50)] + [(99, 1, None)]
+    plain = sorted((r["doc_idx"], tuple(r["ids"])) for r in encoded(spark, rows)[0].collect())
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(encode, "HEAVY_PART", 3)
+    assert sorted((r["doc_idx"], tuple(r["ids"])) for r in encoded(spark, rows)[0].collect()) == plain
+
+
+def test_pairs_of_a_hot_document(spark, monkeypatch):
+    monkeypatch.setattr(align, "HOT_PART", 4)
+    pairs = spark.createDataFrame([(1, k, 0.5) for k in range(2, 60)] + [(2, 3, 0.4), (2, 3, 0.4)], "i bigint, j bigint, score double")
+    docs = spark.createDataFrame([(k, f"t{k}", "clash") for k in range(58)], "doc_idx bigint, text string, _salt string")
+    got = sorted(tuple(r) for r in align.pair_documents(pairs, docs, ["text"]).select("i", "j", "score", "text1", "text2").collect())
+    assert got == sorted([(1, k, 0.5, "t1", f"t{k}") for k in range(2, 58)] + [(2, 3, 0.4, "t2", "t3")] * 2)
+
+
+def test_batches_are_bounded():
+    import pyarrow as pa
+
+    from charterloom.functions.batches import MOST_ROWS, by_bytes
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 5000 + ["y" * 100_000] * 20)], names=["t"])
+    parts = list(by_bytes(iter([batch]), most=300_000))
+    assert sum(([*p.column(0).to_pylist()] for p in parts), []) == batch.column(0).to_pylist()
+    assert max(p.num_rows for p in parts) <= MOST_ROWS and max(p.nbytes for p in parts) <= 1_000_000
+    assert list(by_bytes(iter([batch.slice(0, 0)]))) == []
