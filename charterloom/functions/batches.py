@@ -29,12 +29,6 @@ def by_elements(batch: pa.RecordBatch, column: int, most: int = MOST_ELEMENTS) -
         at = stop
 
 
-def by_rows(batch: pa.RecordBatch, most: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` rows."""
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
-
-
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int = MOST_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of Arrow data, as far as rows of average size make them up, and ``MOST_ROWS`` rows."""
     for batch in batches:
