@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from charterloom.llm.batches import by_elements
+from charterloom.functions.batches import by_elements
 from charterloom.sources.tables import latest_rows
 
 RARE_OCCURRENCES = 2

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charterloom.llm.batches import by_rows
+from charterloom.functions.batches import by_bytes
 
 # Scores of what a span closes with.
 HARD, MARK, QUOTED, ELLIPSIS, COLON, BLANK_LINE, WIDE_SPACE, SHORT_LINE = 12.0, 4.0, 5.0, -0.5, 0.5, 12.0, 9.0, 3.0
@@ -474,16 +474,15 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, start_pos, end_pos) of every sentence.  A map over the scan; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_rows(batch):
-                rows, starts, stops = [], [], []
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    spans = segment(t)
-                    rows += [k] * len(spans)
-                    starts += [s for s, _ in spans]
-                    stops += [e for _, e in spans]
-                keys = part.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=[key, "start_pos", "end_pos"])
+        for part in by_bytes(batches):
+            rows, starts, stops = [], [], []
+            for k, t in enumerate(part.column(1).to_pylist()):
+                spans = segment(t)
+                rows += [k] * len(spans)
+                starts += [s for s, _ in spans]
+                stops += [e for _, e in spans]
+            keys = part.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=[key, "start_pos", "end_pos"])
 
     source = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, start_pos int, end_pos int")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from charterloom.llm.batches import binary_offsets, by_elements
+from charterloom.functions.batches import binary_offsets, by_elements
 from charterloom.plans.materialize import discard, materialize
 from charterloom.sources.tables import bounded
 

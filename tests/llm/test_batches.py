@@ -4,7 +4,8 @@ import random
 
 import pyarrow as pa
 
-from charterloom.llm import batches, frequency, spans
+from charterloom.functions import batches
+from charterloom.llm import frequency, spans
 
 
 def batch(seed=1, n=50):
@@ -24,11 +25,6 @@ def test_slices_by_elements():
     assert sum((p.to_pylist() for p in again), []) == whole.slice(7, 20).to_pylist()
 
 
-def test_slices_by_rows():
-    parts = list(batches.by_rows(batch(), 7))
-    assert [p.num_rows for p in parts] == [7] * 7 + [1]
-
-
 def test_results_do_not_depend_on_slices(spark, monkeypatch):
     text = [f"t{k}" for k in range(45)]
     rows = [(k, 1, ["x"] * k + text[k % 3 :] + ["y"] * k, None) for k in range(12)] + [(50, 1, None, None)]
