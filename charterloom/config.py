@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import warnings
 from dataclasses import dataclass, fields
 
 #: The default rule strings.
@@ -12,7 +13,7 @@ BIGRAM_RULES = "ss>s,ff>f,tt>t,ll>l,ie>i,au>u,ei>i,eu>u,oh>o,ah>a,eh>e,uh>u"
 
 
 def parse_rules(rules: str, source: range, target: range) -> dict[str, str]:
-    """``"a>b,c>d"`` to an ordered dict; rules of another shape are skipped.
+    """``"a>b,c>d"`` to an ordered dict; rules of another shape are skipped with a warning.
 
     ``source`` and ``target`` are the allowed lengths.  A repeated source
     keeps its first place and takes its last value.
@@ -22,6 +23,8 @@ def parse_rules(rules: str, source: range, target: range) -> dict[str, str]:
         parts = [p.strip() for p in rule.split(">")]
         if len(parts) == 2 and len(parts[0]) in source and len(parts[1]) in target:
             out[parts[0]] = parts[1]
+        elif any(parts):
+            warnings.warn(f"rule {rule.strip()!r} is skipped", stacklevel=3)
     return out
 
 

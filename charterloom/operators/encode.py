@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from charterloom.plans.materialize import materialize
+from charterloom.sources.tables import numbered
 
 #: A dictionary of at most so many rows is broadcast; larger ones join by shuffle.
 BROADCAST_ROWS = 500_000
@@ -14,19 +14,9 @@ HEAVY_PART = 10_000
 
 
 def token_dictionary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
-    """(token, token_id): ranks of the sorted distinct tokens from 0 on; null and empty tokens have none.
-
-    Tokens are range-partitioned, each range counts its own, and the offsets
-    come from the counts, so no task sees more than its range.
-    """
-    spark = tokens.sparkSession
+    """(token, token_id): ranks of the sorted distinct tokens from 0 on; null and empty tokens have none."""
     distinct = tokens.select(F.explode(column).alias("token")).where("token <> ''").distinct()
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(distinct.repartitionByRange(ranges, "token").withColumn("part", F.spark_partition_id()), "dictionary")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("token")) - 1
-    return placed.join(F.broadcast(offsets.select("part", "offset")), "part").select("token", (F.col("offset") + rank).cast("int").alias("token_id"))
+    return numbered(distinct, ["token"], "token_id").select("token", F.col("token_id").cast("int").alias("token_id"))
 
 
 def encode(tokens: DataFrame, dictionary: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:

@@ -18,6 +18,17 @@ def word_counts(norm: DataFrame, text: str = "norm_text") -> DataFrame:
     return norm.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
+def longest_word(counts: DataFrame) -> DataFrame:
+    """(n_letters): length of the longest word, 0 without words."""
+    return counts.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("n_letters"))
+
+
+def preview(docs: DataFrame, tokens: DataFrame, most: int = 25, text: str = "norm_text") -> DataFrame:
+    """(doc_idx, words, tokens): the first ``most`` words and subwords of the first document, to look at."""
+    first = docs.where(F.col("doc_idx") == docs.select(F.min("doc_idx")).scalar())
+    return first.join(tokens.select("doc_idx", "tokens"), "doc_idx").select("doc_idx", F.slice(words(F.col(text)), 1, most).alias("words"), F.slice("tokens", 1, most).alias("tokens"))
+
+
 def frequent_words(counts: DataFrame, min_freq: int = 5) -> DataFrame:
     """Words of more than one letter with at least ``min_freq`` occurrences."""
     return counts.where((F.col("freq") >= min_freq) & (F.length("word") > 1))

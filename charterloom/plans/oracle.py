@@ -197,6 +197,9 @@ WHERE NOT regexp_matches(ch, '[a-z {''.join(SINGLE_LETTERS)}]') AND strpos('{''.
 round(1 - length(regexp_replace(text, '[^a-z ]', '', 'g')) / length(text), 6) WHEN text IS NOT NULL THEN 0.0 END AS loss FROM rec""",
     "alphabet_sample": f"""WITH {_CORPUS} SELECT doc_idx, CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?s).'))), '') END AS alphabet FROM rec""",
     "word_frequencies": f"WITH {_WORDS} SELECT word, freq FROM words",
+    "longest_word": f"WITH {_WORDS} SELECT CAST(coalesce(max(length(word)), 0) AS INTEGER) AS n_letters FROM words",
+    "sample_preview": rf"""WITH {_NORMED}, {_tokens(False)}, f AS (SELECT min(doc_idx) AS doc_idx FROM rec)
+SELECT doc_idx, list_filter(regexp_split_to_array(norm_text, '\s+'), lambda w: w <> '')[1:25] AS words, tokens[1:25] AS tokens FROM norm JOIN f USING (doc_idx) JOIN tok USING (doc_idx)""",
     "frequent_words": f"WITH {_WORDS} SELECT word, freq FROM freq",
     "prefix_affixes": f"WITH {_AFFIXES} SELECT affix, CAST(sum(freq) AS BIGINT) AS c FROM pre GROUP BY affix",
     "suffix_affixes": f"WITH {_AFFIXES} SELECT affix, CAST(sum(freq) AS BIGINT) AS c FROM suf GROUP BY affix",

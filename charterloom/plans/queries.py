@@ -150,6 +150,16 @@ def frequent_words(spark, d):
     return vocab.frequent_words(vocab.word_counts(norm_texts(spark, d)), CONFIG.vocab_min_word_freq)
 
 
+@query
+def longest_word(spark, d):
+    return vocab.longest_word(vocab.word_counts(norm_texts(spark, d)))
+
+
+@query
+def sample_preview(spark, d):
+    return vocab.preview(norm_texts(spark, d), token_lists(spark, d, False))
+
+
 def _frequent(spark, d):
     return materialize(frequent_words(spark, d), "frequent")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from charterloom.functions.text import collapse_whitespace
+from charterloom.sources.tables import numbered
 
 
 def read_directory(spark: SparkSession, path: str, suffix: str = ".txt", corpus: int = 1) -> DataFrame:
@@ -52,5 +53,4 @@ def load_corpora(spark: SparkSession, path: str, path2: str = "", suffix: str =
         raise ValueError(f"no texts in {path!r}")
     two = len(parts) > 1 and not parts[1].isEmpty()
     docs = parts[0].unionByName(parts[1]) if two else parts[0]
-    index = (F.row_number().over(Window.orderBy("corpus", "path")) - 1).cast("bigint")  # at most keep_texts rows a folder
-    return docs.withColumn("doc_idx", index).select("doc_idx", "corpus", "name", "path", "text"), two
+    return numbered(docs, ["corpus", "path"], "doc_idx").select(F.col("doc_idx").cast("bigint").alias("doc_idx"), "corpus", "name", "path", "text"), two

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from charterloom.plans.materialize import materialize
 
@@ -39,3 +40,17 @@ def latest_rows(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFra
     best = rows.join(repeated, key, "left_semi").groupBy(key).agg(F.max(packed).alias("_best"))
     once = rows.join(repeated, key, "left_anti").select(key, *columns)
     return once.unionByName(best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns]))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the place of each row in ``order`` from 0 on.
+
+    Rows are range-partitioned, each range counts its own, and the offsets
+    come from the counts, so no task sees more than its range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.join(F.broadcast(offsets.select("_part", "_offset")), "_part").withColumn(name, F.col("_offset") + rank).drop("_part", "_offset")

@@ -575,3 +575,19 @@ def test_batches_are_bounded():
     assert sum(([*p.column(0).to_pylist()] for p in parts), []) == batch.column(0).to_pylist()
     assert max(p.num_rows for p in parts) <= MOST_ROWS and max(p.nbytes for p in parts) <= 1_000_000
     assert list(by_bytes(iter([batch.slice(0, 0)]))) == []
+
+
+def test_features_of_many_documents_in_blocks(spark, monkeypatch):
+    rows = [(k, 1 + k % 2, f % 3 if f < 3 else 100 + f * k % 40, 40, 0.1 + f / 50) for k in range(40) for f in range(9)]
+    weights = spark.createDataFrame(list({(a, b, c): (a, b, c, d, e) for a, b, c, d, e in rows}.values()), "doc_idx bigint, corpus int, feature bigint, df bigint, w double")
+    read = lambda f: sorted((r["i"], r["j"], round(r["score"], 9)) for r in f(weights).collect())
+    plain = [read(similarity.cosine_intra), read(similarity.cosine_inter)]
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 3)
+    assert [read(similarity.cosine_intra), read(similarity.cosine_inter)] == plain and all(plain)
+
+
+def test_rules_of_another_shape_are_told():
+    from charterloom.config import parse_phonetic_rules
+
+    with pytest.warns(UserWarning, match="'ab>c'"):
+        assert parse_phonetic_rules("a>b, ab>c,") == {"a": "b"}
