@@ -49,11 +49,13 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, size: int) -> DataFrame:
-    """``rows`` with ``value`` from the written ``table`` of ``size`` rows (one for each ``key``), null where it has none."""
-    if size <= tables.BROADCAST_KEYS:
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, most: int) -> DataFrame:
+    """``rows`` with ``value`` from ``table`` (one row for each ``key``, ``most`` at most), null where it has none."""
+    if most <= tables.BROADCAST_KEYS:
+        return rows.join(F.broadcast(table), key, "left")
+    rows, table = materialize(rows, "rows"), materialize(table, "lookup")
+    if table.count() <= tables.BROADCAST_KEYS:
         return rows.join(F.broadcast(table), key, "left")
-    rows = materialize(rows, "rows")
     counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HEAVY_PART > rows.count()).select(key, F.lit(True).alias("_heavy"))
     heavy = materialize(counts.join(table, key, "left").select(key, "_heavy", value), "heavy")
     told = rows.join(F.broadcast(heavy), key, "left")
@@ -61,33 +63,36 @@ def _looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, size: in
     return told.where("_heavy").drop("_heavy").unionByName(cold)
 
 
-def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _relabel(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Edges between the labels of their ends; ends without a label keep themselves."""
-    size = labels.count()
     for end in ("a", "b"):
         own = labels.select(F.col("v").alias(end), F.col("label").alias("_label"))
-        edges = _looked_up(edges, end, own, "_label", size).withColumn(end, F.coalesce("_label", end)).drop("_label")
+        edges = _looked_up(edges, end, own, "_label", most).withColumn(end, F.coalesce("_label", end)).drop("_label")
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def peel_giant(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -> tuple[DataFrame, int, bool] | None:
-    """(vertices, smallest id, whole component?) found from the vertex of highest degree, or None without links."""
+def peel_giant(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -> tuple[DataFrame, int, bool, int] | None:
+    """(vertices, smallest id, whole component?, vertices of the graph) found from the vertex of highest degree, or None without links."""
     degrees = _both(edges).groupBy("u").agg(F.count("*").alias("degree"))
     top = degrees.agg(F.count("*").alias("n"), F.min_by("u", F.struct(-F.col("degree"), F.col("u"))).alias("hub")).first()
     if not top["n"]:
         return None
     around = _both(edges)
     found = frontier = edges.sparkSession.createDataFrame([(top["hub"],)], "v bigint")
-    n, every, least = 1, 1, top["hub"]
+    n, every, least, steps = 1, 1, top["hub"], []
     while n and (n >= frontier_share * top["n"] or every == 1):
         # a frontier or a found set of a counted size is broadcast, so the links stay where they are
         step = around.join(tables.bounded(frontier.select(F.col("v").alias("u")), n), "u", "left_semi").select("v")
         frontier = materialize(step.join(tables.bounded(found, every), "v", "left_anti").distinct(), "frontier")
         size = frontier.agg(F.count("*").alias("n"), F.min("v").alias("least")).first()
         n, every = size["n"], every + size["n"]
+        steps.append(frontier)
         if n:
             found, least = found.unionByName(frontier), min(least, size["least"])
-    return found, least, n == 0
+    giant = materialize(found, "giant")
+    for step in steps:
+        discard(step)
+    return giant, least, n == 0, top["n"]
 
 
 def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -> DataFrame:
@@ -96,18 +101,17 @@ def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -
     peeled = peel_giant(edges, frontier_share)
     if peeled is None:
         return edges.select(F.col("a").alias("doc_idx"), F.col("b").alias("group_id"))
-    giant, least, whole = peeled
-    giant = materialize(giant, "giant")
+    giant, least, whole, n = peeled  # no table of vertices has more than n rows
     if whole:
-        rest = edges.join(tables.bounded(giant.select(F.col("v").alias("a")), giant.count()), "a", "left_anti")
+        rest = edges.join(tables.bounded(giant.select(F.col("v").alias("a")), n), "a", "left_anti")
     else:
-        rest = _relabel(edges, giant.withColumn("label", F.lit(least)))
+        rest = _relabel(edges, giant.withColumn("label", F.lit(least)), n)
     rest, maps, level = materialize(rest, "rest"), [], 0
     while not rest.isEmpty():
         order = lambda c, level=level: F.struct(F.xxhash64(F.lit(level), c).alias("p"), F.col(c).alias("v"))
         lowest = _both(rest).groupBy("u").agg(F.min(order("v")).alias("m"))
         labels = materialize(lowest.select(F.col("u").alias("v"), F.least(F.col("m"), order("u"))["v"].alias("label")), f"labels-{level}")
-        smaller = materialize(_relabel(rest, labels), f"rest-{level}")
+        smaller = materialize(_relabel(rest, labels, n), f"rest-{level}")
         discard(rest)
         rest, level = smaller, level + 1
         maps.append(labels)
@@ -115,11 +119,13 @@ def connected_groups(edges: DataFrame, frontier_share: float = FRONTIER_SHARE) -
         return giant.select(F.col("v").alias("doc_idx"), F.lit(least).alias("group_id"))
     roots = maps[-1]
     for labels in reversed(maps[:-1]):
-        onward = materialize(roots.select(F.col("v").alias("label"), F.col("label").alias("root")), "onward")
-        roots = _looked_up(labels, "label", onward, "root", onward.count()).select("v", F.coalesce("root", "label").alias("label"))
+        onward = roots.select(F.col("v").alias("label"), F.col("label").alias("root"))
+        roots = _looked_up(labels, "label", onward, "root", n).select("v", F.coalesce("root", "label").alias("label"))
     roots = materialize(roots, "roots")
-    names = materialize(roots.groupBy("label").agg(F.min("v").alias("group_id")), "names")
-    named = _looked_up(roots, "label", names, "group_id", names.count()).select(F.col("v").alias("doc_idx"), "group_id")
+    for labels in maps:
+        discard(labels)
+    names = roots.groupBy("label").agg(F.min("v").alias("group_id"))
+    named = _looked_up(roots, "label", names, "group_id", n).select(F.col("v").alias("doc_idx"), "group_id")
     if not whole:  # the vertex that stands for the giant component may have been joined with others
         at = roots.where(F.col("v") == least).join(names, "label").first()
         least = at["group_id"] if at else least
