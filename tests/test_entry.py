@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from charterloom.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -20,13 +21,16 @@ def test_flagship(spark):
     assert 0 < len(rows) <= 20 and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)
 
 
+def clean(value):
+    return round(value, 6) if isinstance(value, float) else tuple(map(clean, value)) if isinstance(value, list) else value
+
+
 def rounded(rows):
-    clean = lambda v: round(v, 6) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
     return sorted(repr(tuple(clean(v) for v in r)) for r in rows)
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["corpus_scan", "normalize_text", "affix_counts", "vocab_size_suggestion", "encoded_docs", "feature_tf", "cosine_above", "otsu_threshold", "related_documents", "chronological_pairs"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     import duckdb
 
