@@ -28,7 +28,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Records of the corpus, one row each."""
-    rows = latest_rows(table(spark, d, "corpus"), "doc_idx", "loaded_at", ["name", "path", "text"])
+    rows = latest_rows(table(spark, d, "corpus"), "doc_idx", "loaded_at", ["name", "path", "text"], spread=True)
     return rows.withColumn("corpus", F.lit(1)).select("doc_idx", "corpus", "name", "path", "text")
 
 
@@ -39,7 +39,7 @@ def both_corpora(spark: SparkSession, d: str) -> DataFrame:
 
 def token_lists(spark: SparkSession, d: str, second: bool = True) -> DataFrame:
     """(doc_idx, corpus, tokens) without null and empty elements."""
-    rows = latest_rows(table(spark, d, "tokenized_corpus"), "doc_idx", "tokenized_at", ["tokens"]).withColumn("corpus", F.lit(1))
+    rows = latest_rows(table(spark, d, "tokenized_corpus"), "doc_idx", "tokenized_at", ["tokens"], spread=True).withColumn("corpus", F.lit(1))
     if second:
         rows = rows.unionByName(table(spark, d, "formulary").select("doc_idx", F.lit(2).alias("corpus"), "tokens"))
     clean = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))

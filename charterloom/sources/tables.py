@@ -22,23 +22,28 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_KEYS else df
 
 
-def latest_rows(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+def latest_rows(df: DataFrame, key: str, at: str, columns: list[str], spread: bool = False) -> DataFrame:
     """One row per ``key``: the latest by ``at`` (null times first, then by value).
 
     Repeated rows of a record are the same record.  Keys that stand in more
     than one row are found first, from the key column alone; only their rows
     are shuffled with what they hold, combined before that, so a key that
     holds a third of all rows stays small.  All other rows stay where they are.
+    ``spread`` deals the rows of a scan of fewer partitions than cores (a few
+    small files) out to all of them, for costly stages that follow.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = spread and df.rdd.getNumPartitions() < cores
+    dealt = lambda x: x.repartition(cores) if spread else x
     rows = df.where(F.col(key).isNotNull()).select(key, F.col(at).alias("_at"), *[F.col(c) for c in columns])
     repeated = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
     n = repeated.count()
     if not n:
-        return rows.select(key, *columns)
+        return dealt(rows.select(key, *columns))
     repeated = bounded(repeated, n)
     packed = F.struct(F.col("_at").isNotNull().alias("_known"), "_at", *[F.col(c) for c in columns])
     best = rows.join(repeated, key, "left_semi").groupBy(key).agg(F.max(packed).alias("_best"))
-    once = rows.join(repeated, key, "left_anti").select(key, *columns)
+    once = dealt(rows.join(repeated, key, "left_anti").select(key, *columns))
     return once.unionByName(best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns]))
 
 
