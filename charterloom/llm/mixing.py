@@ -126,7 +126,7 @@ def sized_documents(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> Dat
     return materialize(count_tokens(documents, ["source", "doc_id"], path=path), "sizes")
 
 
-def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None, window: int = WINDOW_TOKENS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def plan_mixture(sized: DataFrame, targets: DataFrame, total: float | None = None, window: int = WINDOW_TOKENS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The plan per source and length, and the report per source.
 
     ``total`` is the size of the mixture in tokens; by default the greatest
@@ -153,7 +153,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None,
     wanted = wanted.join(held, "source", "left")
     if total is None:
         most = F.col("source_tokens") * F.col("max_repeats") / F.col("target_share")
-        total = int(wanted.where("source_tokens is not null and target_share > 0").agg(F.min(most)).first()[0] or 0)
+        total = wanted.where("source_tokens is not null and target_share > 0").agg(F.min(most)).first()[0] or 0.0
     wanted = wanted.withColumn("budget", F.col("target_share") * F.lit(float(total)))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
