@@ -71,17 +71,24 @@ def write_comparison_html(pairs: DataFrame, docs: DataFrame, threshold: float, f
     return paths
 
 
-def related_documents(pairs: DataFrame, docs: DataFrame, threshold: float, inter: bool = False, compat: bool = False) -> DataFrame:
-    """(doc_idx, name, n_related, related) for every document of corpus 1, names sorted, ``None`` where there are none.
+def related_pairs(pairs: DataFrame, threshold: float, inter: bool = False, compat: bool = False) -> DataFrame:
+    """(doc_idx, related): one row for each related document of a document, however many there are.
 
     ``compat`` leaves out pairs of equal index between two corpora, as the reference does.
     """
-    kept = pairs.where(F.col("score") >= threshold).select("i", "j")
+    kept = pairs.where(F.col("score") >= threshold).select(F.col("i").alias("doc_idx"), F.col("j").alias("related"))
     if not inter:
-        kept = kept.where("i <> j")
-        kept = kept.unionByName(kept.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    elif compat:
-        kept = kept.where("i <> j")
+        kept = kept.where("doc_idx <> related")
+        return kept.unionByName(kept.select(F.col("related").alias("doc_idx"), F.col("doc_idx").alias("related")))
+    return kept.where("doc_idx <> related") if compat else kept
+
+
+def related_documents(pairs: DataFrame, docs: DataFrame, threshold: float, inter: bool = False, compat: bool = False) -> DataFrame:
+    """(doc_idx, name, n_related, related) for every document of corpus 1, names sorted, ``None`` where there are none.
+
+    A report for readers: the names of one document are one string, made in one task.  ``related_pairs`` is the table.
+    """
+    kept = related_pairs(pairs, threshold, inter, compat).toDF("i", "j")
     names = docs.select(F.col("doc_idx").alias("j"), F.coalesce("name", F.lit("")).alias("other"))
     grouped = kept.join(names, "j").groupBy(F.col("i").alias("doc_idx")).agg(F.count("*").alias("n_related"), F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("related"))
     own = docs.where("corpus = 1").select("doc_idx", F.coalesce("name", F.lit("")).alias("name"))
@@ -102,8 +109,13 @@ def summary(pairs: DataFrame, docs: DataFrame, threshold: float, inter: bool = F
     )
 
 
-def write_tsv(df: DataFrame, path: str, header: list[str], order: list[str], columns: list[str]) -> str:
-    """One sorted TSV file; rows stream to the driver."""
+def write_tsv(df: DataFrame, path: str, header: list[str], order: list[str], columns: list[str], single: bool = True) -> str:
+    """One sorted TSV file, whose rows stream to the driver, or without ``single`` a folder of sorted parts written where the rows are."""
+    if not single:
+        flat = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\t\n\r]", " ")
+        rows = df.orderBy(*order).select(*[flat(c).alias(h) for c, h in zip(columns, header, strict=True)])
+        rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+        return path
     clean = lambda v: str(v).replace("\t", " ").replace("\n", " ").replace("\r", " ")
     with open(path, "w", encoding="utf-8") as f:
         f.write("\t".join(header) + "\n")
@@ -112,10 +124,10 @@ def write_tsv(df: DataFrame, path: str, header: list[str], order: list[str], col
     return path
 
 
-def write_summary_tsv(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, inter: bool = False) -> str:
+def write_summary_tsv(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, inter: bool = False, single: bool = True) -> str:
     header = ["DocumentFilename", "SimilarityFrequency", "RelatedDocuments", "LongSimilarities(>4words)"]
     columns = ["document_filename", "similarity_frequency", "related_documents", "long_similarities"]
-    return write_tsv(summary(pairs, docs, threshold, inter), path, header, ["doc_idx"], columns)
+    return write_tsv(summary(pairs, docs, threshold, inter), path, header, ["doc_idx"], columns, single)
 
 
 def named_variations(pairs: DataFrame, docs: DataFrame, threshold: float, fuzz: float = 0.75, max_gap: int = 5) -> DataFrame:
@@ -126,9 +138,9 @@ def named_variations(pairs: DataFrame, docs: DataFrame, threshold: float, fuzz:
     return found.join(names.toDF("i", "file_1"), "i").join(names.toDF("j", "file_2"), "j").select("i", "j", "seq", "pos", "file_1", "file_2", "variation_type", "token_1", "token_2")
 
 
-def write_variations_tsv(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, fuzz: float = 0.75, max_gap: int = 5) -> str:
+def write_variations_tsv(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, fuzz: float = 0.75, max_gap: int = 5, single: bool = True) -> str:
     header = ["File_1", "File_2", "Variation_Type", "Token_1", "Token_2"]
-    return write_tsv(named_variations(pairs, docs, threshold, fuzz, max_gap), path, header, ["i", "j", "seq", "pos"], [h.lower() for h in header])
+    return write_tsv(named_variations(pairs, docs, threshold, fuzz, max_gap), path, header, ["i", "j", "seq", "pos"], [h.lower() for h in header], single)
 
 
 def write_heatmap(pairs: DataFrame, docs: DataFrame, path: str, featureful: DataFrame | None = None, limit: int = HEATMAP_LIMIT) -> str | None:

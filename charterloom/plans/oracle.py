@@ -237,6 +237,7 @@ SELECT round(centre, 9) AS threshold FROM cut ORDER BY v DESC, bin LIMIT 1""",
 SELECT score, unnest(range(CASE WHEN i = j THEN 1 ELSE 2 END)) FROM st)""",
     "score_filter_pairs": f"WITH {_STORED} SELECT i, j, score FROM st WHERE score >= 0.6 AND i <> j",
     "score_range": f"WITH {_STORED} SELECT i, j, score FROM st WHERE score BETWEEN 0.25 AND 0.75",
+    "related_pairs": f"WITH {_STORED}, k AS (SELECT i, j FROM st WHERE score >= 0.6 AND i <> j) SELECT i AS doc_idx, j AS related FROM k UNION ALL SELECT j, i FROM k",
     "related_documents": f"""WITH {_STORED}, {_DOCS}, k AS (SELECT i, j FROM st WHERE score >= 0.6 AND i <> j),
 d AS (SELECT i, j FROM k UNION ALL SELECT j, i FROM k),
 g AS (SELECT i, count(*) AS n, string_agg(coalesce(name, ''), ', ' ORDER BY coalesce(name, '')) AS r FROM d JOIN docs ON docs.doc_idx = d.j GROUP BY i)

@@ -63,8 +63,8 @@ def cutoff(pairs: DataFrame, featureful: DataFrame, config: Config, inter: bool)
     return threshold.choose(scores, config.similarity_threshold, config.auto_threshold_method)
 
 
-def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None = None) -> Result:
-    """All stages over loaded documents (doc_idx, corpus, name, path, text); reports go to ``folder``."""
+def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None = None, single: bool = True) -> Result:
+    """All stages over loaded documents (doc_idx, corpus, name, path, text); reports go to ``folder``, tables without ``single`` as folders of parts."""
     docs = materialize(docs.select("doc_idx", "corpus", "name", "path", "text"), "docs")
     tokens, merges = tokenize(docs, config)
     weights, pairs, config, featureful = compare(docs, tokens, config, inter)
@@ -82,9 +82,9 @@ def run(docs: DataFrame, config: Config, inter: bool = False, folder: str | None
             if config.gen_comparison_html:
                 files += reports.write_comparison_html(pairs, docs, least, folder, config.max_gap_words, config.fuzz_threshold)
             if config.gen_summary_tsv:
-                files.append(reports.write_summary_tsv(pairs, docs, least, at("similarity_summary.tsv"), inter))
+                files.append(reports.write_summary_tsv(pairs, docs, least, at("similarity_summary.tsv"), inter, single))
             if config.gen_linguistic_tsv:
-                files.append(reports.write_variations_tsv(pairs, docs, least, at("linguistic_variations.tsv"), config.fuzz_threshold, config.max_gap_words))
+                files.append(reports.write_variations_tsv(pairs, docs, least, at("linguistic_variations.tsv"), config.fuzz_threshold, config.max_gap_words, single))
     return Result(docs, tokens, weights, pairs, least, config, inter, files)
 
 

@@ -334,6 +334,11 @@ def score_range(spark, d):
     return stored(spark, d).where(F.col("score").between(0.25, 0.75))
 
 
+@query
+def related_pairs(spark, d):
+    return reports.related_pairs(stored(spark, d), CUT)
+
+
 @query
 def related_documents(spark, d):
     return reports.related_documents(stored(spark, d), both_corpora(spark, d), CUT)

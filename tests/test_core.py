@@ -470,6 +470,9 @@ def test_reports(spark, tmp_path):
     assert lines[0].split("\t")[0] == "DocumentFilename" and len(lines) == 6
     lines = open(reports.write_variations_tsv(pairs, docs, 0.8, str(tmp_path / "v.tsv")), encoding="utf-8").read().splitlines()
     assert lines[0] == "File_1\tFile_2\tVariation_Type\tToken_1\tToken_2" and len(lines) == 2
+    folder = reports.write_summary_tsv(pairs, docs, 0.8, str(tmp_path / "parts"), single=False)
+    parts = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder)
+    assert parts.columns[0] == "DocumentFilename" and parts.count() == 5
     pages = reports.write_comparison_html(pairs, docs, 0.8, str(tmp_path), most=10)
     assert len(pages) == 3 and pages[1].endswith("text_comparisons_02.html")
     assert reports.write_comparison_html(pairs, docs, 0.99, str(tmp_path)) == []
@@ -493,7 +496,8 @@ def test_pipeline(spark, tmp_path, two):
     best = [x["score"] for x in result.pairs.orderBy(F.desc("score")).limit(3).collect()]
     assert best and best[0] > 0.1
     names = {f.rsplit("/", 1)[1] for f in result.files}
-    assert {"dist_mat.parquet", "similarity_heatmap.html", "similarity_summary.tsv", "linguistic_variations.tsv"} <= names
+    assert {"dist_mat.parquet", "similarity_heatmap.html", "similarity_summary.tsv", "linguistic_variations.tsv", "subword_merges.json"} <= names
+    assert bpe.Merges.load(next(f for f in result.files if f.endswith(".json"))).pairs
     with pytest.raises(ValueError):
         pipeline.run_folders(spark, Config(), "x")
 
