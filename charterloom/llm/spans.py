@@ -172,8 +172,9 @@ def _repeated(windows: DataFrame) -> DataFrame:
     """Written windows that stand in two texts, or in one that has copies."""
     found = windows.groupBy("a", "b").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.max("copies").alias("c"), F.count("*").alias("n"))
     found = materialize(found.where("x <> y or c").select("a", "b", "n"), "repeated")
-    heavy = found.where(F.col("n") * HEAVY_PART > windows.count()).select("a", "b")
-    light = found.where(F.col("n") * HEAVY_PART <= windows.count()).select("a", "b")
+    every = windows.count()
+    heavy = found.where(F.col("n") * HEAVY_PART > every).select("a", "b")
+    light = found.where(F.col("n") * HEAVY_PART <= every).select("a", "b")
     columns = ["rep", "pos", "a", "b", "copies"]
     if heavy.isEmpty():
         return windows.join(light, ["a", "b"], "left_semi").select(*columns)
