@@ -89,6 +89,9 @@ one AS (SELECT wt.* FROM wt JOIN rep USING (doc_idx) WHERE corpus = 1 AND df > 1
 
 _INTRA = f"""{_weights(False)},
 pairs AS (SELECT a.doc_idx AS i, b.doc_idx AS j, round(sum(a.w * b.w), 8) AS score FROM one a JOIN one b ON a.feature = b.feature AND a.doc_idx < b.doc_idx GROUP BY ALL)"""
+#: The same over all documents, copies among them.
+_EVERY = f"""{_weights(False)}, every AS (SELECT * FROM wt WHERE df > 1),
+pairs AS (SELECT a.doc_idx AS i, b.doc_idx AS j, round(sum(a.w * b.w), 8) AS score FROM every a JOIN every b ON a.feature = b.feature AND a.doc_idx < b.doc_idx GROUP BY ALL)"""
 _STORED = """st AS (SELECT i, j, arg_max(s, {'k': scored_at IS NOT NULL, 'at': coalesce(scored_at, TIMESTAMP '0001-01-01'), 's': s}) AS score FROM (
   SELECT least(i, j) AS i, greatest(i, j) AS j, scored_at, CAST(score AS DOUBLE) AS s FROM dist_mat
   WHERE i IS NOT NULL AND j IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) GROUP BY i, j)"""
@@ -222,7 +225,7 @@ SELECT df, count(*) AS n_features, round(ln((1 + any_value(n)) / (1 + df)) + 1,
     "cosine_intra": f"WITH {_INTRA} SELECT i, j, score FROM pairs",
     "cosine_inter": f"""WITH {_weights(True)} SELECT a.doc_idx AS i, b.doc_idx AS j, round(sum(a.w * b.w), 8) AS score
 FROM one a JOIN wt b ON a.feature = b.feature AND b.corpus = 2 GROUP BY ALL""",
-    "cosine_above": f"WITH {_INTRA} SELECT i, j, score FROM pairs WHERE score >= 0.6",
+    "cosine_above": f"WITH {_EVERY} SELECT i, j, score FROM pairs WHERE score >= 0.6",
     "topk_pairs": f"WITH {_INTRA} SELECT i, j, score FROM pairs ORDER BY score DESC, i, j LIMIT 20",
     "similarity_dense": f"""WITH {_STORED}, f AS (SELECT doc_idx FROM formulary),
 cells AS (SELECT i, j, score FROM st WHERE i <> j UNION ALL SELECT j, i, score FROM st WHERE i <> j UNION ALL SELECT doc_idx, doc_idx, 1.0 FROM formulary WHERE len(list_filter(tokens, lambda t: t IS NOT NULL AND t <> '')) >= 6)

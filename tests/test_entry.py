@@ -53,3 +53,25 @@ def test_dense_corpus_holds_the_stored_scores(spark):
     expected = con.execute(f"SELECT i, j, score FROM ({entry.oracle_sql()['similarity_dense_corpus']})").fetchall()
     got = entry.queries()["similarity_dense_corpus"](spark, FOLDER).select("i", "j", "score").collect()
     assert rounded(got) == rounded(expected) and any(0 < r["score"] < 1 for r in got)
+
+
+def token_table(spark, folder, texts):
+    """``tokenized_corpus`` of the texts, in a folder of its own."""
+    rows = [(k, list(text)) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_idx bigint, tokens array<string>").selectExpr("*", "timestamp '2024-01-01 00:00:00' AS tokenized_at").coalesce(1).write.parquet(f"{folder}/tokenized_corpus.parquet")
+    return str(folder)
+
+
+def sql_rows(name, folder, columns):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW tokenized_corpus AS SELECT * FROM '{folder}/tokenized_corpus.parquet/*.parquet'")
+    return con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+
+
+def test_pairs_above_hold_copies(spark, tmp_path):
+    folder = token_table(spark, tmp_path, ["abcdefgh", "abcdefgh", "abcdefgx", "klmnopqr", "abcdefgh", "abc", "abc"])
+    got = [tuple(r) for r in entry.queries()["cosine_above"](spark, folder).select("i", "j", "score").collect()]
+    assert {(i, j) for i, j, s in got if s == 1} == {(0, 1), (0, 4), (1, 4)}
+    assert rounded(got) == rounded(sql_rows("cosine_above", folder, ["i", "j", "score"]))
