@@ -226,7 +226,7 @@ SELECT df, count(*) AS n_features, round(ln((1 + any_value(n)) / (1 + df)) + 1,
     "cosine_inter": f"""WITH {_weights(True)} SELECT a.doc_idx AS i, b.doc_idx AS j, round(sum(a.w * b.w), 8) AS score
 FROM one a JOIN wt b ON a.feature = b.feature AND b.corpus = 2 GROUP BY ALL""",
     "cosine_above": f"WITH {_EVERY} SELECT i, j, score FROM pairs WHERE score >= 0.6",
-    "topk_pairs": f"WITH {_INTRA} SELECT i, j, score FROM pairs ORDER BY score DESC, i, j LIMIT 20",
+    "topk_pairs": f"WITH {_EVERY} SELECT i, j, score FROM pairs ORDER BY score DESC, i, j LIMIT 20",
     "similarity_dense": f"""WITH {_STORED}, f AS (SELECT doc_idx FROM formulary),
 cells AS (SELECT i, j, score FROM st WHERE i <> j UNION ALL SELECT j, i, score FROM st WHERE i <> j UNION ALL SELECT doc_idx, doc_idx, 1.0 FROM formulary WHERE len(list_filter(tokens, lambda t: t IS NOT NULL AND t <> '')) >= 6)
 SELECT a.doc_idx AS i, b.doc_idx AS j, coalesce(score, 0.0) AS score FROM f a CROSS JOIN f b LEFT JOIN cells c ON c.i = a.doc_idx AND c.j = b.doc_idx""",

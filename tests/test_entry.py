@@ -1,6 +1,7 @@
 """The driver contract: names, the flagship query, and the queries against their SQL on the smallest tables."""
 
 import os
+import random
 
 import pytest
 
@@ -75,3 +76,19 @@ def test_pairs_above_hold_copies(spark, tmp_path):
     got = [tuple(r) for r in entry.queries()["cosine_above"](spark, folder).select("i", "j", "score").collect()]
     assert {(i, j) for i, j, s in got if s == 1} == {(0, 1), (0, 4), (1, 4)}
     assert rounded(got) == rounded(sql_rows("cosine_above", folder, ["i", "j", "score"]))
+
+
+def test_top_pairs_hold_copies(spark, tmp_path):
+    folder = token_table(spark, tmp_path, ["abcdefgh", "abcdefgh", "abcdefgx", "klmnopqr", "abcdefgh", "abc", "abc"])
+    got = [tuple(r) for r in entry.queries()["topk_pairs"](spark, folder).select("i", "j", "score").collect()]
+    assert [(i, j) for i, j, _ in got[:3]] == [(0, 1), (0, 4), (1, 4)] and len(got) == 6
+    assert rounded(got) == rounded(sql_rows("topk_pairs", folder, ["i", "j", "score"]))
+
+
+@pytest.mark.parametrize("copies", [3, 8])
+def test_top_pairs_of_many(spark, tmp_path, copies):
+    rng = random.Random(copies)
+    texts = ["".join(rng.choices("abcd", k=rng.randint(5, 30))) for _ in range(40)] + ["abcdefghij"] * copies
+    folder = token_table(spark, tmp_path, texts)
+    got = [tuple(r) for r in entry.queries()["topk_pairs"](spark, folder).select("i", "j", "score").collect()]
+    assert len(got) == 20 and rounded(got) == rounded(sql_rows("topk_pairs", folder, ["i", "j", "score"]))
