@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from charterloom.config import Config, parse_bigram_rules, parse_phonetic_rules
 from charterloom.functions import text as T
-from charterloom.operators import align, autotune, bpe, encode, features, normalize, reports, similarity, threshold, vocab
+from charterloom.operators import align, autotune, bpe, chunks, encode, features, normalize, reports, similarity, threshold, vocab
 from charterloom.plans import materialize as M
 from charterloom.plans import pipeline
 from charterloom.sources import files, tables
@@ -595,3 +595,43 @@ def test_rules_of_another_shape_are_told():
 
     with pytest.warns(UserWarning, match="'ab>c'"):
         assert parse_phonetic_rules("a>b, ab>c,") == {"a": "b"}
+
+
+@pytest.mark.parametrize("n_out, slice_postings", [(0, 40), (1, 10**9), (1, 300)])
+def test_weights_and_pairs_of_chunks(spark, monkeypatch, n_out, slice_postings):
+    monkeypatch.setattr(chunks, "CHUNK_TOKENS", 60)
+    monkeypatch.setattr(chunks, "SLICE_POSTINGS", slice_postings)
+    rows = docs_of(6, n=40, v=4)
+    rows += [(90, 1, rows[1][2]), (91, 1, []), (92, 1, ["only"] * 9)]
+    tokens = spark.createDataFrame([(k, c, [x for x in t or [] if x]) for k, c, t in rows], "doc_idx bigint, corpus int, tokens array<string>").repartition(3)
+    ids, dictionary = encoded(spark, rows)
+    bags = {(k, c): Counter() for k, c, _ in rows}
+    for x in features.feature_counts(ids, len(dictionary), ["doc_idx", "corpus"], 4, n_out).collect():
+        bags[x["doc_idx"], x["corpus"]][x["feature"]] = x["tf"]
+    unit, cosines = brute_cosines(bags, len(rows))
+    weights = chunks.Weights(*chunks.encoded_chunks(tokens), 4, n_out)
+    assert weights.told.count() > 3
+    full = {((x["doc_idx"], x["corpus"]), x["feature"]): x["w"] for x in chunks.tfidf_weights(weights).collect()}
+    wanted = {(k, f): w for k, u in unit.items() for f, w in u.items()}
+    assert full.keys() == wanted.keys() and all(abs(full[k] - wanted[k]) < 1e-12 for k in full)
+    assert sorted(r["doc_idx"] for r in chunks.featureful(weights).collect()) == sorted(k for (k, _), bag in bags.items() if bag)
+    wanted = {(a[0], b[0]): s for (a, b), s in cosines.items() if a[1] == b[1] == 1}
+    blocks = chunks.blocks(weights)
+    pairs = [tuple(r) for r in chunks.all_pairs(blocks).collect()]
+    assert len(pairs) == len(wanted) and all(abs(wanted[i, j] - s) < 1e-9 for i, j, s in pairs)
+    for t in (0.2, 0.6, 0.95):
+        above = [(r["i"], r["j"]) for r in chunks.pairs_above(weights, t).collect()]
+        assert len(above) == len(set(above)) and set(above) == {k for k, s in wanted.items() if s >= t}
+    counts = chunks.score_counts(blocks, 7, 256).collect()
+    assert sum(r["n"] for r in counts) == len(wanted)
+    scores = spark.createDataFrame([(r["score"], 2 * r["n"]) for r in counts] + [(1.0, 7)], "score double, weight bigint")
+    every = spark.createDataFrame([(s, 2) for _, _, s in pairs] + [(1.0, 7)], "score double, weight bigint")
+    cutoff = threshold.choose(scores)
+    assert cutoff == threshold.choose(every) and sum(r["n"] for r in counts if r["score"] >= cutoff) == sum(s >= cutoff for _, _, s in pairs)
+
+
+def test_no_chunks(spark):
+    for rows in ([], [(1, 1, ["a"]), (2, 1, [])]):
+        weights = chunks.Weights(*chunks.encoded_chunks(spark.createDataFrame(rows, "doc_idx bigint, corpus int, tokens array<string>")), 6, 1)
+        blocks = chunks.blocks(weights)
+        assert weights.n == len(rows) and chunks.tfidf_weights(weights).collect() == chunks.all_pairs(blocks).collect() == chunks.pairs_above(weights, 0.5).collect() == chunks.score_counts(blocks, 0, 256).collect() == []
