@@ -92,3 +92,17 @@ def test_top_pairs_of_many(spark, tmp_path, copies):
     folder = token_table(spark, tmp_path, texts)
     got = [tuple(r) for r in entry.queries()["topk_pairs"](spark, folder).select("i", "j", "score").collect()]
     assert len(got) == 20 and rounded(got) == rounded(sql_rows("topk_pairs", folder, ["i", "j", "score"]))
+
+
+def test_copies_only_count_in_frequencies(spark, tmp_path):
+    folder = token_table(spark, tmp_path, ["abcdefgh", "abcdefgh", "abcdefgx", "klmnopqr", "xbcdefgh", "abc", "abc"])
+    got = [tuple(r) for r in entry.queries()["cosine_intra"](spark, folder).select("i", "j", "score").collect()]
+    assert {(i, j) for i, j, _ in got} == {(0, 2), (0, 4), (2, 4)}
+    assert rounded(got) == rounded(sql_rows("cosine_intra", folder, ["i", "j", "score"]))
+
+
+@needs_data
+def test_all_pairs_are_not_summed_by_shuffle(spark):
+    """A product row for every common feature of a pair went through a shuffle."""
+    plan = entry.queries()["cosine_intra"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
