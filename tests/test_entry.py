@@ -106,3 +106,14 @@ def test_all_pairs_are_not_summed_by_shuffle(spark):
     """A product row for every common feature of a pair went through a shuffle."""
     plan = entry.queries()["cosine_intra"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_cutoff_writes_no_pairs(spark, tmp_path):
+    from charterloom.plans import materialize as M
+
+    rng = random.Random(5)
+    folder = token_table(spark, tmp_path, ["".join(rng.choices("abc", k=rng.randint(3, 25))) for _ in range(30)])
+    before = set(M._written)
+    got = entry.queries()["pipeline_cutoff"](spark, folder).select("diagonal", "n_pairs", "threshold", "n_kept").collect()
+    assert not any(p.endswith("/pairs") for p in M._written - before)
+    assert rounded(got) == rounded(sql_rows("pipeline_cutoff", folder, ["diagonal", "n_pairs", "threshold", "n_kept"]))
