@@ -117,3 +117,14 @@ def test_cutoff_writes_no_pairs(spark, tmp_path):
     got = entry.queries()["pipeline_cutoff"](spark, folder).select("diagonal", "n_pairs", "threshold", "n_kept").collect()
     assert not any(p.endswith("/pairs") for p in M._written - before)
     assert rounded(got) == rounded(sql_rows("pipeline_cutoff", folder, ["diagonal", "n_pairs", "threshold", "n_kept"]))
+
+
+@pytest.mark.parametrize("name", ["tfidf_weights", "cosine_above"])
+def test_postings_are_not_written(spark, tmp_path, name):
+    from charterloom.plans import materialize as M
+
+    folder = token_table(spark, tmp_path, ["abcdefgh", "abcdefgh", "abcdefgx", "klmnopqr"])
+    spark.createDataFrame([(100, list("abcdefyz"))], "doc_idx bigint, tokens array<string>").write.parquet(f"{folder}/formulary.parquet")
+    before = set(M._written)
+    assert entry.queries()[name](spark, folder).count() > 0
+    assert not any(p.endswith(("/postings", "/weights")) for p in M._written - before)
